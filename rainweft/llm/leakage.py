@@ -89,8 +89,11 @@ class Templates:
 
     def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Template code and exact code (0: no word of any passage) of each word."""
-        get, slow = self._seen.get, self._code
-        codes = np.array([c if (c := get(w)) is not None else slow(w) for w in words], np.int64)
+        found = list(map(self._seen.get, words))
+        if None in found:
+            slow = self._code
+            found = [slow(w) if c is None else c for c, w in zip(found, words)]
+        codes = np.array(found, np.int64)
         return codes >> 32, codes & 0xFFFFFFFF
 
     def windows(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
