@@ -1,0 +1,130 @@
+"""Exact percentiles of very large columns, per group, by distributed multi-select.
+
+Values are first counted per group: these counts are the partial results, which
+add up over partitions and days. Where a group still has many different values,
+every partition proposes the weighted median of its candidates for each wanted
+rank, the weighted median of the proposals becomes the pivot, values below, at
+and above it are counted, and the ranges that can't hold the rank are
+discarded; this repeats until few candidates are left, which one window ranks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rainweft.workspace import written
+
+PER_MILLE = (10, 50, 250, 500, 750, 900, 950, 990, 999)
+FEW = 512  # different values of a group that one task may rank
+MOST_ROUNDS = 64
+
+
+def value_counts(rows: DataFrame, groups: Sequence[str], value: str, key: str | None = None) -> DataFrame:
+    """``(groups..., v, c)``: how often each finite value occurs in a group.
+
+    With ``key``, rows of the same key count once. Results of different parts of
+    a table (disjoint in ``key``) are combined by ``merge_counts``.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = rows.select(*groups, (v + F.lit(0.0)).alias("v"), *([key] if key else []))
+    if key:
+        rows = rows.dropDuplicates([key])
+    return rows.groupBy(*groups, "v").agg(F.count("*").alias("c"))
+
+
+def merge_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Counts over coarser groups, or of several partial results put together."""
+    return counts.groupBy(*groups, "v").agg(F.sum("c").alias("c"))
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted median of the candidates of each (gid, k) in a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gid, k, v, c = (batch.column(n).to_numpy() for n in ("gid", "k", "v", "c"))
+        order = np.lexsort((v, k, gid))
+        gid, k, v, c = gid[order], k[order], v[order], c[order]
+        first = np.ones(len(v), bool)
+        first[1:] = (gid[1:] != gid[:-1]) | (k[1:] != k[:-1])
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(v))
+        run = np.cumsum(c)
+        base = run[starts] - c[starts]
+        weight = run[ends - 1] - base
+        at = np.searchsorted(run, base + (weight + 1) // 2)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gid[starts], k[starts], v[at], weight)], names=["gid", "k", "p", "w"])
+
+
+def percentiles(counts: DataFrame, groups: Sequence[str], per_mille: Sequence[int] = PER_MILLE, few: int = FEW, rank_error: float = 0.0) -> DataFrame:
+    """``(groups..., n, per_mille, value, rank_error)`` from value counts.
+
+    value is the smallest one whose rank is at least ``ceil(n * per_mille / 1000)``
+    (1 at least); ``rank_error`` bounds the distance in rank as a share of n: at 0
+    the result is exact, above it a range of so few ranks is no longer narrowed
+    and its upper neighbour is returned. Groups without values don't appear;
+    null group keys form a group; ties count with their number.
+    """
+    g = [F.col(c) for c in groups]
+    named = counts.select(*g, "v", "c", F.xxhash64(*g, *[x.isNull() for x in g]).alias("gid"))
+    sizes = written(named.groupBy("gid", *groups).agg(F.sum("c").alias("n"), F.count("*").alias("m")), "sizes")
+    ks = F.array(*[F.lit(int(k)) for k in per_mille])
+    rank = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("k") + 999) / 1000)).cast("bigint")
+    # lo and hi bound the candidates, both excluded; below counts the values up to lo
+    wide = sizes.where(F.col("m") > few)
+    state = wide.select("gid", "n", F.explode(ks).alias("k")).select(
+        "gid", "k", "n", rank.alias("rank"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("err")
+    )
+    state = written(state, "state")
+    work = None
+    if state.limit(1).count():
+        work = written(named.join(wide.select("gid"), "gid", "left_semi").select("gid", "v", "c"), "candidates")
+        for _ in range(MOST_ROUNDS):
+            open_ = state.where("value is null")
+            left = work.join(open_.select("gid", "k", "lo", "hi"), "gid").where("v > lo and v < hi").select("gid", "k", "v", "c")
+            held = written(left.groupBy("gid", "k").agg(F.count("*").alias("m"), F.sum("c").alias("total")), "held")
+            many = open_.select("gid", "k", "n").join(held, ["gid", "k"]).where((F.col("m") > few) & (F.col("total") > F.col("n") * rank_error)).select("gid", "k")
+            many = written(many, "many")
+            if not many.limit(1).count():
+                break
+            active = left.join(many, ["gid", "k"], "left_semi")
+            proposed = active.mapInArrow(_propose, "gid bigint, k int, p double, w bigint")
+            side = Window.partitionBy("gid", "k").orderBy("p")
+            run = proposed.groupBy("gid", "k", "p").agg(F.sum("w").alias("w")).withColumn("run", F.sum("w").over(side)).withColumn("all", F.sum("w").over(Window.partitionBy("gid", "k")))
+            pivots = written(run.where("2 * run >= all").groupBy("gid", "k").agg(F.min("p").alias("pivot")), "pivots")
+            three = active.join(pivots, ["gid", "k"]).groupBy("gid", "k", "pivot").agg(F.sum(F.when(F.col("v") < F.col("pivot"), F.col("c")).otherwise(0)).alias("less"), F.sum(F.when(F.col("v") == F.col("pivot"), F.col("c")).otherwise(0)).alias("same"))
+            s = state.join(three, ["gid", "k"], "left")
+            under, upto = F.col("below") + F.col("less"), F.col("below") + F.col("less") + F.col("same")
+            hit = F.col("pivot").isNotNull() & (F.col("rank") > under) & (F.col("rank") <= upto)
+            state = written(
+                s.select(
+                    "gid", "k", "n", "rank",
+                    F.when(F.col("rank") > upto, F.col("pivot")).otherwise(F.col("lo")).alias("lo"),
+                    F.when(F.col("rank") <= under, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
+                    F.when(F.col("rank") > upto, upto).otherwise(F.col("below")).alias("below"),
+                    F.when(hit, F.col("pivot")).otherwise(F.col("value")).alias("value"),
+                    "err",
+                ),
+                "state",
+            )
+    small = named.join(sizes.where(F.col("m") <= few).select("gid", "n"), "gid")
+    order = Window.partitionBy("gid").orderBy("v")
+    ranked = small.select("gid", "n", "v", "c", F.sum("c").over(order).alias("upto"))
+    ranked = ranked.select("gid", "n", "v", "c", "upto", F.explode(ks).alias("k")).where((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c")))
+    done = ranked.select("gid", "k", F.col("v").alias("value"), F.lit(0.0).alias("err"))
+    if work is not None:
+        rest = work.join(state.where("value is null"), "gid").where("v > lo and v < hi")
+        narrow = Window.partitionBy("gid", "k").orderBy("v")
+        if rank_error:
+            total = rest.groupBy("gid", "k", "n", "rank", "below").agg(F.max("v").alias("value"), F.sum("c").alias("total"))
+            last = total.select("gid", "k", "value", (F.col("total") / F.col("n")).alias("err"))
+        else:
+            last = rest.withColumn("upto", F.col("below") + F.sum("c").over(narrow)).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c"))).select("gid", "k", F.col("v").alias("value"), F.lit(0.0).alias("err"))
+        done = done.unionAll(state.where("value is not null").select("gid", "k", "value", "err")).unionAll(last)
+    return sizes.drop("m").join(done, "gid").select(*groups, "n", F.col("k").alias("per_mille"), "value", F.col("err").alias("rank_error"))
