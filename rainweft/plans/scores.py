@@ -47,8 +47,6 @@ def _round6(text: str) -> str:
 
 
 def _cont(key: str, source: str = "pair", thr: str = "thr") -> str:
-    c = lambda a, b: f"cast(sum(case when {a}p > {thr} and {b}o > {thr} then 1 else 0 end) as double)"
-    del c
     s = lambda cond: f"cast(sum(case when {cond} then 1 else 0 end) as double)"
     return f"""cont as (select {key}, {s(f'p > {thr} and o > {thr}')} h, {s(f'not p > {thr} and o > {thr}')} m, {s(f'p > {thr} and not o > {thr}')} f, {s(f'not p > {thr} and not o > {thr}')} r from {source} group by {key})"""
 
@@ -110,10 +108,10 @@ def _cells(s, d):
 
 
 add(
-    "crps", lambda s, d: V.crps_state(_cells(s, d), ["t"]).select("t", (F.col("s") / F.col("n")).alias("crps")),
+    "crps", lambda s, d: V.crps_state(_cells(s, d), ["t"]).select("t", F.col("s").alias("crps_sum"), "n"),
     f"""with {ENS_SQL}, g as (select t, y, x, o, f, unnest(range(1, len(f))) k from arr),
     gaps as (select t, y, x, sum(case when o > f[k+1] then (f[k+1] - f[k]) * (k / 5.0) ** 2 when o > f[k] and o < f[k+1] then (o - f[k]) * (k / 5.0) ** 2 + (f[k+1] - o) * (1 - k / 5.0) ** 2 when o < f[k] then (f[k+1] - f[k]) * (1 - k / 5.0) ** 2 else 0 end) s from g group by 1, 2, 3)
-    select t, round(avg(s + case when o < f[1] then f[1] - o when o > f[5] then o - f[5] else 0 end), 6) crps from gaps join arr using (t, y, x) group by t""",
+    select t, round(sum(s + case when o < f[1] then f[1] - o when o > f[5] then o - f[5] else 0 end), 6) crps_sum, count(*) n from gaps join arr using (t, y, x) group by t""",
 )
 PF = f"{ENS_SQL}, pf as (select e.t, e.y, e.x, avg(case when e.v >= 40 then 1.0 else 0.0 end) pf, any_value(o.v) o from ens e join obs o on e.t = o.t and e.y = o.y and e.x = o.x group by 1, 2, 3)"
 add(
