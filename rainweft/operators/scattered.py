@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 def decluster(points: DataFrame, scale: float, min_samples: int = 1, values: Sequence[str] = ("u", "v")) -> DataFrame:
     """Medians of place and values per square of side ``scale`` that holds enough points."""
-    by = [F.floor(F.col(c) / scale).cast("bigint").alias(f"b{c}") for c in "xy"]
+    by = [F.floor(F.col(c) / scale).cast("bigint").alias(f"b{c}_") for c in "xy"]
     cols = [F.percentile(F.col(c), 0.5).alias(c) for c in ("x", "y", *values)]
-    return points.groupBy(*by).agg(F.count("*").alias("n"), *cols).where(F.col("n") >= min_samples).select("bx", "by", *["x", "y", *values])
+    return points.groupBy(*by).agg(F.count("*").alias("n"), *cols).where(F.col("n") >= min_samples).select("bx_", "by_", "x", "y", *values)
 
 
 def global_outliers(points: DataFrame, thr: float, value: str) -> DataFrame:

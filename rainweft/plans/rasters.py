@@ -92,7 +92,7 @@ add("resample_distributions", lambda s, d: R.resample(obs(s, d).where("t < 4"),
 add("normal_quantile", lambda s, d: R.normal_scores(obs(s, d).where("t < 4")))
 
 # -- points
-add("decluster", lambda s, d: S.decluster(points(s, d), 10.0, 2), f"with {PTS_SQL} select cast(floor(x / 10) as bigint) bx, cast(floor(y / 10) as bigint) "by", ROUND6(median(x)) x, ROUND6(median(y)) y, ROUND6(median(u)) u, ROUND6(median(v)) v from pts group by 1, 2 having count(*) >= 2")
+add("decluster", lambda s, d: S.decluster(points(s, d), 10.0, 2), f"with {PTS_SQL} select cast(floor(x / 10) as bigint) bx_, cast(floor(y / 10) as bigint) by_, ROUND6(median(x)) x, ROUND6(median(y)) y, ROUND6(median(u)) u, ROUND6(median(v)) v from pts group by 1, 2 having count(*) >= 2")
 add("outliers_global", lambda s, d: S.global_outliers(points(s, d), 1.5, "u").select("id", "outlier"), f"with {PTS_SQL} select id, abs(u - avg(u) over ()) / stddev_pop(u) over () > 1.5 outlier from pts")
 add("outliers_mahalanobis", lambda s, d: S.global_outliers_2d(points(s, d), 2.0).select("id", "outlier"), f"with {PTS_SQL}, g as (select avg(u) ma, avg(v) mb, var_samp(u) va, var_samp(v) vb, covar_samp(u, v) c from pts) select id, sqrt((vb * (u - ma) ** 2 - 2 * c * (u - ma) * (v - mb) + va * (v - mb) ** 2) / (va * vb - c * c)) > 2 outlier from pts, g")
 add("outliers_local", lambda s, d: S.local_outliers(points(s, d), 2.0, 8, 10.0).select("id", "outlier"), f"with {PTS_SQL}, n as (select a.id, b.u w, row_number() over (partition by a.id order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) r from pts a join pts b on a.id <> b.id and abs(a.x - b.x) <= 10 and abs(a.y - b.y) <= 10 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 10), s as (select id, avg(w) m, stddev_pop(w) s from n where r <= 8 group by id) select pts.id, coalesce(s > 0 and abs(u - m) / s > 2, false) outlier from pts left join s on s.id = pts.id")
