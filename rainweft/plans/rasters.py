@@ -137,7 +137,7 @@ add("blended_moments", lambda s, d: B.blended_moments(_COMP(s).select("level", "
 add("blend_flows", lambda s, d: B.blend_fields(flow(s).withColumn("src", F.lit(0)).unionByName(flow(s).select("y", "x", (F.col("u") * F.col("y")).alias("u"), (F.col("v") + 1).alias("v"), F.lit(1).alias("src"))), s.range(2).select(F.col("id").cast("int").alias("src"), (0.3 + 0.4 * F.col("id")).alias("weight")), ["y", "x"], ["u", "v"]), f"with {FLOW_SQL} select y, x, ROUND6((0.3 * u + 0.7 * u * y) / 1.0) u, ROUND6((0.3 * v + 0.7 * (v + 1)) / 1.0) v from flow")
 add("recompose", lambda s, d: B.recompose(obs(s, d).where("t < 6").select(F.col("t").alias("level"), "y", "x", "v", (F.col("t") + 1.0).alias("mu"), (F.col("t") / 2.0).alias("sigma"))), f"with {OBS_SQL} select y, x, ROUND6(sum(v * t / 2.0 + t + 1)) v from obs where t < 6 group by 1, 2")
 add("wet_in_both", lambda s, d: B.wet_in_both(ens(s, d), ens(s, d).where("member > 2"), 60.0, 2).groupBy("t").agg(F.count("*").alias("n")), f"with {ENS_SQL}, a as (select t, y, x from ens where v >= 60 group by 1, 2, 3 having count(*) >= 2), b as (select t, y, x from ens where v >= 60 and member > 2 group by 1, 2, 3 having count(*) >= 2) select t, count(*) n from a join b using (t, y, x) group by t")
-add("filter_covariance", lambda s, d: B.filter_covariance(ens(s, d).where("t = 10 and y = 3").select("member", F.col("x").alias("i"), "v"), 1.0371, 0.01), f"with {ENS_SQL}, e as (select member, x i, v from ens where t = 10 and y = 3) select a.i, b.i j, ROUND6(covar_samp(a.v, b.v) * 1.0371 + case when a.i = b.i then 0.01 else 0 end) cov from e a join e b using (member) group by 1, 2")
+add("filter_covariance", lambda s, d: B.filter_covariance(ens(s, d).where("t = 10 and y = 3").select("member", F.col("x").alias("i"), (F.col("v") / 100).alias("v")), 1.0371, 0.01), f"with {ENS_SQL}, e as (select member, x i, v / 100 v from ens where t = 10 and y = 3) select a.i, b.i j, ROUND6(covar_samp(a.v, b.v) * 1.0371 + case when a.i = b.i then 0.01 else 0 end) cov from e a join e b using (member) group by 1, 2")
 
 # -- tracking
 _LAB = lambda s, d: obs(s, d).where("v > 30").select("t", "y", "x", (F.col("y").cast("int") / 8).cast("int").alias("by"), (F.col("x") / 8).cast("int").alias("bx")).select("t", "y", "x", (F.col("by") * 4 + F.col("bx") + 1).alias("id"))
