@@ -135,10 +135,8 @@ def lifespans(headers: DataFrame) -> DataFrame:
     leaf = numbered.select("feed_id", "block", "file_id", "no", "next_file_id", F.explode("leaves").alias("l")).select("feed_id", "block", "file_id", "no", "next_file_id", "l.attribute", "l.path", "l.kind")
     leaf = written(leaf, "leaves")
     # a null keeps the type last seen of its attribute
-    known = leaf.where("kind is not null").select("feed_id", "attribute", "block", "no", "kind")
-    edges = known.groupBy("feed_id", "attribute", "block").agg(F.max_by("kind", "no").alias("last"))
+    blocks = leaf.groupBy("feed_id", "attribute", "block").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("no"))).alias("last"))
     before = Window.partitionBy("feed_id", "attribute").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = leaf.select("feed_id", "attribute", "block").distinct().join(edges, ["feed_id", "attribute", "block"], "left")
     blocks = blocks.select(F.col("feed_id").alias("f"), F.col("attribute").alias("a"), F.col("block").alias("b"), F.last("last", True).over(before).alias("carried"))
     upto = Window.partitionBy("feed_id", "attribute", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     typed = leaf.withColumn("held", F.last("kind", True).over(upto))

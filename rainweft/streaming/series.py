@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rainweft.workspace import shared_dir
 
@@ -58,7 +59,7 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.schema(stream.schema.add("_epoch", "int")).parquet(f"{base}/table")
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("_epoch", IntegerType())])).parquet(f"{base}/table")
     if mode == "update" and keys:
         rest = [c for c in stream.columns if c not in keys]
         out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in rest])
