@@ -70,7 +70,7 @@ class RangeMax:
 
     def best(self, lo: int, hi: int) -> int:
         """Place of the largest value in ``lo..hi``, both included."""
-        k = (hi - lo + 1).bit_length() - 1
+        k = int(hi - lo + 1).bit_length() - 1
         row = self.rows[k]
         return int(max(row[lo], row[hi - (1 << k) + 1]) % self.n)
 
