@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rainweft import registry
 from rainweft.operators import forecast as P
 from rainweft.operators import grid as G
-from rainweft.plans.common import N, OBS_SQL, ens, model, obs, read, rounded
+from rainweft.operators.ensemble import lagged_ensemble
+from rainweft.plans.common import OBS_SQL, ens, model, obs, read, rounded
 from rainweft.plans.scores import _round6
 from rainweft.streaming import series as Z
 
@@ -67,13 +68,13 @@ add("semilagrangian_shift", _shift, f"with {OBS_SQL} select cast(l.range as doub
 
 
 def _cascade(s, d):
-    lev = P.decomposed(plain(s, d).where("t < 6"), 5)
+    lev = P.decomposed(plain(s, d), 5)
     e = lev.select("t", "level", "nx", "mu", "sigma", F.posexplode("data").alias("pos", "v"))
     e = e.select("t", (F.col("pos") / F.col("nx")).cast("int").alias("y"), (F.col("pos") % F.col("nx")).cast("int").alias("x"), (F.col("v") * F.col("sigma") + F.col("mu")).alias("w"))
     return e.groupBy("t", "y", "x").agg(F.round(F.sum("w"), 4).alias("v"))
 
 
-add("cascade_recomposed", _cascade, f"with {OBS_SQL} select t, y, x, round(v, 4) + 0.0 v from obs where t < 6")
+add("cascade_recomposed", _cascade, f"with {OBS_SQL} select t, y, x, round(v, 4) + 0.0 v from obs")
 
 
 def _spectrum(s, d):
@@ -91,11 +92,11 @@ add(
 
 
 def _fine(s, d):
-    f = P.downscaled(plain(s, d).where("t < 6").withColumn("data", F.transform("data", lambda v: v + 1.0)), 4, alpha=2.0)
+    f = P.downscaled(plain(s, d).withColumn("data", F.transform("data", lambda v: v + 1.0)), 4, alpha=2.0)
     return G.aggregate_space(G.to_cells(f), 4, 4).select("t", "y", "x", F.round("v", 4).alias("v"))
 
 
-add("rainfarm_block_means", _fine, f"with {OBS_SQL} select t, y, x, round(v + 1, 4) + 0.0 v from obs where t < 6")
+add("rainfarm_block_means", _fine, f"with {OBS_SQL} select t, y, x, round(v + 1, 4) + 0.0 v from obs")
 add("features_shitomasi", lambda s, d: P.point_features(tensors(s, d), "shitomasi", most=20))
 add("features_blob", lambda s, d: P.point_features(tensors(s, d), "blob", most=10))
 add("features_tstorm", lambda s, d: P.storm_cells(tensors(s, d), least=10.0, most=48.0, rise=3.0, min_size=4, min_peak=15.0, distance=3.0).select("case", "t", "id", "cen_x", "cen_y", "max_ref", "area"))
@@ -104,7 +105,7 @@ add("features_tstorm", lambda s, d: P.storm_cells(tensors(s, d), least=10.0, mos
 def _nwp_stack(s, d):
     from rainweft.functions.transforms import db_transform
 
-    m = model(s, d).where("t % 10 < 3").select((F.col("t") / 10).cast("int").alias("case"), (F.col("t") % 10).alias("t"), "y", "x", db_transform(F.col("v"), 0.1, -15.0).alias("v"))
+    m = model(s, d).select((F.col("t") / 10).cast("int").alias("case"), (F.col("t") % 10).alias("t"), "y", "x", db_transform(F.col("v"), 0.1, -15.0).alias("v"))
     return P.frame_stacks(G.to_tensor(m, ("case", "t")), 3)
 
 
@@ -112,8 +113,8 @@ add("blending_steps", lambda s, d: summary(P.blended_steps(stacks(s, d), flows(s
 
 
 def _enkf(s, d):
-    a = G.to_tensor(ens(s, d).where("t < 8").withColumnRenamed("t", "case"), ("case", "member"))
-    b = G.to_tensor(ens(s, d).where("t >= 8 and t < 11").select((F.col("t") - 3).alias("case"), "member", "y", "x", "v"), ("case", "member"))
+    a = G.to_tensor(ens(s, d).withColumnRenamed("t", "case"), ("case", "member"))
+    b = G.to_tensor(lagged_ensemble(model(s, d), 5).withColumnRenamed("t", "case"), ("case", "member"))
     return P.kalman_corrected(a, b, 5.0).select("case", "member", F.explode("data").alias("v")).groupBy("case", "member").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
 
 
@@ -137,4 +138,3 @@ def _stateful(s, d):
 
 
 add("stream_nowcast", _stateful)
-del N

@@ -13,6 +13,7 @@ from rainweft.operators import ranks as R
 from rainweft.operators import scattered as S
 from rainweft.operators import series as A
 from rainweft.operators import tracking as K
+from rainweft.operators.ensemble import lagged_ensemble
 from rainweft.plans.common import ENS_SQL, FLOW_SQL, MODEL_SQL, OBS_SQL, PAIR_SQL, PTS_SQL, N, ens, flow, model, obs, pairs, points, read, rounded
 from rainweft.plans.scores import _round6
 
@@ -51,12 +52,14 @@ add("aggregate_time_sum", lambda s, d: G.aggregate_time(obs(s, d), 6, "sum"), f"
 add("aggregate_space", lambda s, d: G.aggregate_space(obs(s, d), 4, 4), f"with {OBS_SQL} select t, cast(y // 4 as integer) y, cast(x // 4 as integer) x, ROUND6(avg(v)) v from obs group by 1, 2, 3")
 _GEO = {"x1": 0.0, "y1": 0.0, "x2": N * 1000.0, "y2": N * 1000.0, "xpixelsize": 1000.0, "ypixelsize": 1000.0, "yorigin": "upper"}
 add("clip_domain", lambda s, d: G.clip_domain(obs(s, d), _GEO, (4000.0, 20000.0, 8000.0, 36000.0), 0.0), f"with {OBS_SQL}, out_ as (select cast(a.range as integer) t, cast(b.range as integer) y, cast(c.range as integer) x from range(30) a, range(28) b, range(16) c) select o.t, o.y, o.x, ROUND6(coalesce(i.v, 0)) v from out_ o left join obs i on i.t = o.t and i.y = o.y - 4 and i.x = o.x + 4")
-add("square_domain_pad", lambda s, d: G.square_domain(obs(s, d).where("y < 20"), 20, N), f"with {OBS_SQL}, g as (select * from grid) select g.t, g.y, g.x, ROUND6(coalesce(o.v, 0)) v from g left join (select * from obs where y < 20) o on g.t = o.t and g.y = o.y + 6 and g.x = o.x")
-add("square_domain_crop", lambda s, d: G.square_domain(obs(s, d).where("y < 20"), 20, N, "crop"), f"with {OBS_SQL} select t, y, cast(x - 6 as integer) x, v from obs where y < 20 and x between 6 and 25")
-add("square_domain_inverse", lambda s, d: G.unsquare_domain(G.square_domain(obs(s, d).where("y < 20"), 20, N), 20, N), f"with {OBS_SQL} select t, y, x, v from obs where y < 20")
+_OBLONG = lambda s, d: G.aggregate_space(obs(s, d), 1, 2, "sum")
+_OSQL = f"{OBS_SQL}, oblong as (select t, y, cast(x // 2 as integer) x, sum(v) v from obs group by 1, 2, 3)"
+add("square_domain_pad", lambda s, d: G.square_domain(_OBLONG(s, d), N, N // 2), f"with {_OSQL} select g.t, g.y, g.x, ROUND6(coalesce(o.v, 0)) v from grid g left join oblong o on g.t = o.t and g.y = o.y and g.x = o.x + 8")
+add("square_domain_crop", lambda s, d: G.square_domain(_OBLONG(s, d), N, N // 2, "crop"), f"with {_OSQL} select t, cast(y - 8 as integer) y, x, ROUND6(v) v from oblong where y between 8 and 23")
+add("square_domain_inverse", lambda s, d: G.unsquare_domain(G.square_domain(_OBLONG(s, d), N, N // 2), N, N // 2), f"with {_OSQL} select t, y, x, ROUND6(v) v from oblong")
 add("centred_coordinates", lambda s, d: G.centred_coordinates(s, N, N - 1), f"select cast(a.range as integer) y, cast(b.range as integer) x, cast(a.range - {N // 2} as integer) cy, cast(b.range - {(N - 1) // 2} as integer) cx from range({N}) a, range({N - 1}) b")
 add("check_norain", lambda s, d: G.no_rain(obs(s, d), 40.0, 0.2), f"with {OBS_SQL} select t, ROUND6(avg(case when v > 40 then 1.0 else 0.0 end)) wet, avg(case when v > 40 then 1.0 else 0.0 end) <= 0.2 as norain from obs group by t")
-add("after_last_dry", lambda s, d: G.after_last_dry(obs(s, d).where("t < 8 or v > 60"), 1.0, 0.6).groupBy("t").agg(F.count("*").alias("n")), f"with {OBS_SQL}, o as (select * from obs where t < 8 or v > 60), dry as (select max(t) l from (select t from o group by t having avg(case when v > 1 then 1.0 else 0.0 end) <= 0.6)) select t, count(*) n from o, dry where l is null or t > l group by t")
+add("after_last_dry", lambda s, d: G.after_last_dry(obs(s, d), 40.0, 0.17).groupBy("t").agg(F.count("*").alias("n")), f"with {OBS_SQL}, dry as (select max(t) l from (select t from obs group by t having avg(case when v > 40 then 1.0 else 0.0 end) <= 0.17)) select t, count(*) n from obs, dry where l is null or t > l group by t")
 add("lowest_wet_value", lambda s, d: G.lowest_wet_value(obs(s, d)), f"with {OBS_SQL}, m as (select t, min(v) m from obs group by t) select t, ROUND6(coalesce(min(case when v > m then v end), min(m))) threshold from obs join m using (t) group by t")
 add("close_rain_gap", lambda s, d: G.close_rain_gap(obs(s, d)), f"with {OBS_SQL}, m as (select t, min(v) m from obs group by t), k as (select t, min(v) thr, min(m) m from obs join m using (t) where v > m group by t) select t, y, x, ROUND6(case when v > m then v - (thr - m) else v end - m) v from obs join k using (t)")
 add("find_by_date", lambda s, d: G.date_spine(s, "2024-01-10 12:00:00", 15, 4, 2), "select cast(range as integer) k, timestamp '2024-01-10 12:00:00' + to_minutes(cast(range * 15 as integer)) ts from range(-4, 3)")
@@ -67,10 +70,10 @@ _BOX = lambda f, c, size, src: f"(select t, y, x, w0, least, {f}({c}) over (part
 add("morphological_opening", lambda s, d: H.opening(obs(s, d), 5.0, 3), f"with {OBS_SQL}, mk as (select t, y, x, v, case when v > 5 then 1 else 0 end w0, case when v > 5 then 1 else 0 end w, min(v) over (partition by t) least from obs), op as (select * from {_BOX('max', 'w', 3, _BOX('min', 'w', 3, 'mk'))}) select obs.t, obs.y, obs.x, ROUND6(case when op.w0 = 1 and op.w = 0 then op.least else obs.v end) v from obs join op using (t, y, x)")
 _GAUSS = H.gaussian_offsets(1.0, 2.0)
 _GSQL = ", ".join(f"({a}, {b}, {w!r}::double)" for a, b, w in _GAUSS)
-add("gaussian_mean", lambda s, d: H.weighted_mean(obs(s, d).where("t < 6").withColumn("v", F.when(v > 5, v)), _GAUSS), f"with {OBS_SQL}, o as (select t, y, x, case when v > 5 then v end v from obs where t < 6), k(dy, dx, w) as (values {_GSQL}), s as (select t, y + dy y, x + dx x, sum(v * w) wv, sum(w) w from o, k where v is not null group by 1, 2, 3) select o.t, o.y, o.x, ROUND6(wv / w) v from o left join s on o.t = s.t and o.y = s.y and o.x = s.x")
+add("gaussian_mean", lambda s, d: H.weighted_mean(obs(s, d).withColumn("v", F.when(F.col("v") > 5, F.col("v"))), _GAUSS), f"with {OBS_SQL}, o as (select t, y, x, case when v > 5 then v end v from obs), k(dy, dx, w) as (values {_GSQL}), s as (select t, y + dy y, x + dx x, sum(v * w) wv, sum(w) w from o, k where v is not null group by 1, 2, 3) select o.t, o.y, o.x, ROUND6(wv / w) v from o left join s on o.t = s.t and o.y = s.y and o.x = s.x")
 _D = H.disc_offsets(3.0)
 _DSQL = ", ".join(f"({a}, {b})" for a, b in _D)
-add("lagrangian_probability", lambda s, d: H.lagrangian_probability(obs(s, d).where("t < 6"), 40.0, 6), f"with {OBS_SQL}, o as (select t, y, x, case when v >= 40 then 1.0 else 0.0 end e from obs where t < 6), k(dy, dx) as (values {_DSQL}) select a.t, a.y, a.x, ROUND6(avg(b.e)) pr from o a, k, o b where a.t = b.t and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3")
+add("lagrangian_probability", lambda s, d: H.lagrangian_probability(obs(s, d), 40.0, 6), f"with {OBS_SQL}, o as (select t, y, x, case when v >= 40 then 1.0 else 0.0 end e from obs), k(dy, dx) as (values {_DSQL}) select a.t, a.y, a.x, ROUND6(avg(b.e)) pr from o a, k, o b where a.t = b.t and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3")
 add("dilated_mask", lambda s, d: H.dilated_mask(obs(s, d), 250.0, 3), f"with {OBS_SQL}, k as (select a.range dy, b.range dx, (4 - abs(a.range) - abs(b.range)) / 4.0 m from range(-3, 4) a, range(-3, 4) b where abs(a.range) + abs(b.range) <= 3), s as (select t, y + dy y, x + dx x, max(m) m from obs, k where v >= 250 group by 1, 2, 3) select obs.t, obs.y, obs.x, ROUND6(coalesce(s.m, 0)) m from obs left join s on obs.t = s.t and obs.y = s.y and obs.x = s.x")
 _W = lambda c, a, b: f"sum({c}) over (partition by t, {b} order by {a} range between 3 preceding and 3 following) {c}"
 _CC = ("n", "p", "o", "pp", "oo", "po")
@@ -88,8 +91,8 @@ add("probability_match", cells(lambda v: dict(v=R.probability_match(v, [0, 10, 1
 _SAL = f"{PAIR_SQL}, d as (select *, round(p / max(p) over (partition by t) - o / max(o) over (partition by t), 12) d from pair), s as (select *, dense_rank() over (partition by t order by d) r from d), sal as (select t, y, x, p, o, r / max(r) over (partition by t) s from s)"
 add("ranked_salience", lambda s, d: R.ranked_salience(pairs(s, d)), f"with {_SAL} select t, y, x, ROUND6(p) p, ROUND6(o) o, ROUND6(s) salience from sal")
 add("salient_blending", lambda s, d: B.salient_blend(pairs(s, d), 0.37), f"with {_SAL} select t, y, x, ROUND6(s * 0.1369 / (s * 0.1369 + (1 - s) * 0.3969) * p + (1 - s * 0.1369 / (s * 0.1369 + (1 - s) * 0.3969)) * o) v from sal")
-add("resample_distributions", lambda s, d: R.resample(obs(s, d).where("t < 4"), model(s, d).where("t < 4"), 1.0).select("t", "rank", "v"), f"with {OBS_SQL} select t, row_number() over (partition by t order by v desc, y, x) as rank, v from obs where t < 4")
-add("normal_quantile", lambda s, d: R.normal_scores(obs(s, d).where("t < 4")))
+add("resample_distributions", lambda s, d: R.resample(obs(s, d), model(s, d), 1.0).select("t", "rank", "v"), f"with {OBS_SQL} select t, row_number() over (partition by t order by v desc, y, x) as rank, v from obs")
+add("normal_quantile", lambda s, d: R.normal_scores(obs(s, d)))
 
 # -- points
 add("decluster", lambda s, d: S.decluster(points(s, d), 10.0, 2), f"with {PTS_SQL} select cast(floor(x / 10) as bigint) bx_, cast(floor(y / 10) as bigint) by_, ROUND6(median(x)) x, ROUND6(median(y)) y, ROUND6(median(u)) u, ROUND6(median(v)) v from pts group by 1, 2 having count(*) >= 2")
@@ -135,9 +138,9 @@ add("bps_weights", lambda s, d: B.bps_weights(_COMP(s)), f"with {_CSQL}, r as (s
 add("end_weights", lambda s, d: _COMP(s).select("level", "component", B.end_weight(F.col("skill"), F.col("component") == 1, F.col("level"), 2, 5).alias("weight")), f"with {_CSQL}, f as (select *, least(greatest((level - 2) / 3.0, 0), 1) f from c) select level, component, ROUND6(skill * (1 - f) + case when component = 1 then f else 0 end) weight from f")
 add("blended_moments", lambda s, d: B.blended_moments(_COMP(s).select("level", "component", (F.col("component") + 1.0).alias("mu"), (F.col("level") + 0.5).alias("sigma"), F.col("skill").alias("weight"))), f"with {_CSQL} select level, ROUND6(sum((component + 1) * skill) / sum(skill)) mu, ROUND6(sum((level + 0.5) * skill) / sum(skill)) sigma from c group by level")
 add("blend_flows", lambda s, d: B.blend_fields(flow(s).withColumn("src", F.lit(0)).unionByName(flow(s).select("y", "x", (F.col("u") * F.col("y")).alias("u"), (F.col("v") + 1).alias("v"), F.lit(1).alias("src"))), s.range(2).select(F.col("id").cast("int").alias("src"), (0.3 + 0.4 * F.col("id")).alias("weight")), ["y", "x"], ["u", "v"]), f"with {FLOW_SQL} select y, x, ROUND6((0.3 * u + 0.7 * u * y) / 1.0) u, ROUND6((0.3 * v + 0.7 * (v + 1)) / 1.0) v from flow")
-add("recompose", lambda s, d: B.recompose(obs(s, d).where("t < 6").select(F.col("t").alias("level"), "y", "x", "v", (F.col("t") + 1.0).alias("mu"), (F.col("t") / 2.0).alias("sigma"))), f"with {OBS_SQL} select y, x, ROUND6(sum(v * t / 2.0 + t + 1)) v from obs where t < 6 group by 1, 2")
-add("wet_in_both", lambda s, d: B.wet_in_both(ens(s, d), ens(s, d).where("member > 2"), 60.0, 2).groupBy("t").agg(F.count("*").alias("n")), f"with {ENS_SQL}, a as (select t, y, x from ens where v >= 60 group by 1, 2, 3 having count(*) >= 2), b as (select t, y, x from ens where v >= 60 and member > 2 group by 1, 2, 3 having count(*) >= 2) select t, count(*) n from a join b using (t, y, x) group by t")
-add("filter_covariance", lambda s, d: B.filter_covariance(ens(s, d).where("t = 10 and y = 3").select("member", F.col("x").alias("i"), (F.col("v") / 100).alias("v")), 1.0371, 0.01), f"with {ENS_SQL}, e as (select member, x i, v / 100 v from ens where t = 10 and y = 3) select a.i, b.i j, ROUND6(covar_samp(a.v, b.v) * 1.0371 + case when a.i = b.i then 0.01 else 0 end) cov from e a join e b using (member) group by 1, 2")
+add("recompose", lambda s, d: B.recompose(obs(s, d).select(F.col("t").alias("level"), "y", "x", "v", (F.col("t") + 1.0).alias("mu"), (F.col("t") / 2.0).alias("sigma"))), f"with {OBS_SQL} select y, x, ROUND6(sum(v * t / 2.0 + t + 1)) v from obs group by 1, 2")
+add("wet_in_both", lambda s, d: B.wet_in_both(ens(s, d), lagged_ensemble(model(s, d), 5), 60.0, 2).groupBy("t").agg(F.count("*").alias("n")), f"with {ENS_SQL}, {MODEL_SQL}, mens as (select m.range as member, o.t + m.range t, o.y, o.x, o.v from model o, range(1, 6) m where o.t + m.range between 5 and 29), a as (select t, y, x from ens where v >= 60 group by 1, 2, 3 having count(*) >= 2), b as (select t, y, x from mens where v >= 60 group by 1, 2, 3 having count(*) >= 2) select t, count(*) n from a join b using (t, y, x) group by t")
+add("filter_covariance", lambda s, d: B.filter_covariance(ens(s, d).select(((F.col("t") * N + F.col("y")) * 10 + F.col("member")).alias("member"), F.col("x").alias("i"), (F.col("v") / 100).alias("v")), 1.0371, 0.01), f"with {ENS_SQL}, e as (select (t * 32 + y) * 10 + member as member, x i, v / 100 v from ens) select a.i, b.i j, ROUND6(covar_samp(a.v, b.v) * 1.0371 + case when a.i = b.i then 0.01 else 0 end) cov from e a join e b using (member) group by 1, 2")
 
 # -- tracking
 _LAB = lambda s, d: obs(s, d).where("v > 30").select("t", "y", "x", (F.col("y").cast("int") / 8).cast("int").alias("by"), (F.col("x") / 8).cast("int").alias("bx")).select("t", "y", "x", (F.col("by") * 4 + F.col("bx") + 1).alias("id"))
