@@ -59,7 +59,7 @@ add("square_domain_crop", lambda s, d: G.square_domain(_OBLONG(s, d), N, N // 2,
 add("square_domain_inverse", lambda s, d: G.unsquare_domain(G.square_domain(_OBLONG(s, d), N, N // 2), N, N // 2), f"with {_OSQL} select t, y, x, ROUND6(v) v from oblong")
 add("centred_coordinates", lambda s, d: G.centred_coordinates(s, N, N - 1), f"select cast(a.range as integer) y, cast(b.range as integer) x, cast(a.range - {N // 2} as integer) cy, cast(b.range - {(N - 1) // 2} as integer) cx from range({N}) a, range({N - 1}) b")
 add("check_norain", lambda s, d: G.no_rain(obs(s, d), 40.0, 0.2), f"with {OBS_SQL} select t, ROUND6(avg(case when v > 40 then 1.0 else 0.0 end)) wet, avg(case when v > 40 then 1.0 else 0.0 end) <= 0.2 as norain from obs group by t")
-add("after_last_dry", lambda s, d: G.after_last_dry(obs(s, d), 40.0, 0.17).groupBy("t").agg(F.count("*").alias("n")), f"with {OBS_SQL}, dry as (select max(t) l from (select t from obs group by t having avg(case when v > 40 then 1.0 else 0.0 end) <= 0.17)) select t, count(*) n from obs, dry where l is null or t > l group by t")
+add("after_last_dry", lambda s, d: G.after_last_dry(obs(s, d), 40.0, 0.115).groupBy("t").agg(F.count("*").alias("n")), f"with {OBS_SQL}, dry as (select max(t) l from (select t from obs group by t having avg(case when v > 40 then 1.0 else 0.0 end) <= 0.115)) select t, count(*) n from obs, dry where l is null or t > l group by t")
 add("lowest_wet_value", lambda s, d: G.lowest_wet_value(obs(s, d)), f"with {OBS_SQL}, m as (select t, min(v) m from obs group by t) select t, ROUND6(coalesce(min(case when v > m then v end), min(m))) threshold from obs join m using (t) group by t")
 add("close_rain_gap", lambda s, d: G.close_rain_gap(obs(s, d)), f"with {OBS_SQL}, m as (select t, min(v) m from obs group by t), k as (select t, min(v) thr, min(m) m from obs join m using (t) where v > m group by t) select t, y, x, ROUND6(case when v > m then v - (thr - m) else v end - m) v from obs join k using (t)")
 add("find_by_date", lambda s, d: G.date_spine(s, "2024-01-10 12:00:00", 15, 4, 2), "select cast(range as integer) k, timestamp '2024-01-10 12:00:00' + to_minutes(cast(range * 15 as integer)) ts from range(-4, 3)")
