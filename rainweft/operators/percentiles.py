@@ -27,14 +27,15 @@ MOST_ROUNDS = 64
 def value_counts(rows: DataFrame, groups: Sequence[str], value: str, key: str | None = None) -> DataFrame:
     """``(groups..., v, c)``: how often each finite value occurs in a group.
 
-    With ``key``, rows of the same key count once. Results of different parts of
-    a table (disjoint in ``key``) are combined by ``merge_counts``.
+    With ``key``, rows stored twice (equal in key, groups and value) count once.
+    Results of different parts of a table (disjoint in ``key``) are combined by
+    ``merge_counts``.
     """
     v = F.col(value).cast("double")
     rows = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.select(*groups, (v + F.lit(0.0)).alias("v"), *([key] if key else []))
     if key:
-        rows = rows.dropDuplicates([key])
+        rows = rows.distinct()  # over all columns: hashed, where duplicates by key alone would be sorted
     return rows.groupBy(*groups, "v").agg(F.count("*").alias("c"))
 
 
@@ -88,7 +89,7 @@ def percentiles(counts: DataFrame, groups: Sequence[str], per_mille: Sequence[in
         for _ in range(MOST_ROUNDS):
             open_ = state.where("value is null")
             left = work.join(open_.select("gid", "k", "lo", "hi"), "gid").where("v > lo and v < hi").select("gid", "k", "v", "c")
-            held = written(left.groupBy("gid", "k").agg(F.count("*").alias("m"), F.sum("c").alias("total")), "held")
+            held = left.groupBy("gid", "k").agg(F.count("*").alias("m"), F.sum("c").alias("total"))
             many = open_.select("gid", "k", "n").join(held, ["gid", "k"]).where((F.col("m") > few) & (F.col("total") > F.col("n") * rank_error)).select("gid", "k")
             many = written(many, "many")
             if not many.limit(1).count():
