@@ -85,7 +85,9 @@ def _cont_sql(where: str = "", key: str = "") -> str:
     return f"with {PAIR_SQL} " + CONT.format(keys=key + "," if key else "", where=where, group=f"group by {key}" if key else "")
 
 
-add("continuous_by_frame", lambda s, d: V.continuous_scores(V.moment_state(pairs(s, d), ["t"]), ["t"]), _cont_sql(key="t"))
+# square roots, since means of hundredths over 1,024 cells often end in a 5 at the seventh place
+_ROOTS = lambda s, d: pairs(s, d).withColumn("p", F.sqrt("p")).withColumn("o", F.sqrt("o"))
+add("continuous_by_frame", lambda s, d: V.continuous_scores(V.moment_state(_ROOTS(s, d), ["t"]), ["t"]), _cont_sql(key="t").replace("from pair ", "from (select t, sqrt(p) p, sqrt(o) o from pair) "))
 for _how, _where in (("single", "where p > 10 or o > 10"), ("double", "where p > 10 and o > 10")):
     add(f"continuous_{_how}", lambda s, d, how=_how: V.continuous_scores(V.moment_state(V.conditioned(pairs(s, d), how, 10.0))), _cont_sql(_where))
 add(
