@@ -183,6 +183,22 @@ def test_faults_of_edges(spark):
     assert got == {1: None, 3: "impossible"}
 
 
+def test_faults_of_a_long_stuck_source(spark):
+    rng = np.random.RandomState(3)
+    rows, truth = [], {}
+    for s in range(40):
+        v = rng.gamma(0.5, 4.0, 60) + 0.1
+        v[10:40] = v[10]  # half of the source stands still
+        for t in range(60):
+            rid = 60 * s + t
+            rows.append((rid, "a", None, 0, t, s, 0, minutes(t), float(v[t]), 0.0, "x"))
+            if 10 <= t < 40:
+                truth[rid] = "stuck"
+    got = anomalies.score_readings(spark.createDataFrame(rows, CELLS)).collect()
+    assert {r.reading_id: r.fault for r in got if r.fault == "stuck"} == truth
+    assert all(r.score is not None for r in got)
+
+
 def test_faults_independent_of_batches(spark):
     rows, truth = cell_rows(8)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
