@@ -199,6 +199,22 @@ def test_faults_of_a_long_stuck_source(spark):
     assert all(r.score is not None for r in got)
 
 
+def test_faults_of_a_source_of_many_spikes(spark):
+    rng = np.random.RandomState(8)
+    rows, truth = [], {}
+    for s in range(60):
+        v = 2 + np.cumsum(rng.uniform(-0.1, 0.1, 60)).clip(-1.5, 5)
+        high = range(4 + s % 5, 58, 10) if s < 40 else ()  # "a": one reading in ten, "b": none
+        for t in high:
+            v[t], truth[60 * s + t] = 30.0 + rng.uniform(0, 20), "spike"
+        rows += [(60 * s + t, "a" if s < 40 else "b", None, 0, t, s, 0, minutes(t), float(v[t]), 0.0, "x") for t in range(60)]
+    cells = spark.createDataFrame(rows, CELLS)
+    got = anomalies.score_readings(cells).where("fault is not null").collect()
+    assert {r.reading_id: r.fault for r in got} == truth
+    steps = {r.source: r.step for r in anomalies.normal_steps(written(anomalies.series_features(cells), "features")).collect()}
+    assert 0.08 < steps["a"] <= 0.1 + 1e-9 and 0.08 < steps["b"] <= 0.1 + 1e-9
+
+
 def test_faults_independent_of_batches(spark):
     rows, truth = cell_rows(8)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
