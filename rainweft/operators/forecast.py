@@ -27,6 +27,14 @@ def frame_stacks(tensors: DataFrame, n: int, keys: Sequence[str] = ("case",)) ->
     return out.select(*keys, "ny", "nx", F.flatten(F.transform("p", lambda s: s["data"])).alias("stack"))
 
 
+def rolling_stacks(tensors: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys..., case, ny, nx, stack)``: frames case - n + 1 .. case for every frame that has all of them, oldest first."""
+    each = tensors.withColumn("case", F.explode(F.sequence(F.col("t"), F.col("t") + (n - 1))))
+    packed = F.array_sort(F.collect_list(F.struct("t", "data")))
+    out = each.groupBy(*keys, "case").agg(F.max("ny").alias("ny"), F.max("nx").alias("nx"), packed.alias("p")).where(F.size("p") == n)
+    return out.select(*keys, "case", "ny", "nx", F.flatten(F.transform("p", lambda s: s["data"])).alias("stack"))
+
+
 def _rasters(batch: pa.RecordBatch, column: str = "stack") -> Iterator[np.ndarray]:
     ny, nx = batch.column("ny").to_numpy(), batch.column("nx").to_numpy()
     col = batch.column(column)

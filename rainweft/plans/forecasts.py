@@ -35,11 +35,18 @@ def plain(s, d):
 
 
 def stacks(s, d, n: int = 3):
-    return P.frame_stacks(tensors(s, d), n)
+    """A stack for every frame that has ``n - 1`` before it; case is the frame's t."""
+    return P.rolling_stacks(_daily(obs(s, d)), n)
+
+
+def _daily(cells):
+    from rainweft.functions.transforms import db_transform
+
+    return G.to_tensor(cells.withColumn("v", db_transform(F.col("v"), 0.1, -15.0)))
 
 
 def flows(s, d, method: str = "lucaskanade"):
-    return P.motion_fields(stacks(s, d), method)
+    return P.motion_fields(stacks(s, d, 9 if method == "darts" else 3), method)
 
 
 def summary(f):
@@ -103,10 +110,7 @@ add("features_tstorm", lambda s, d: P.storm_cells(tensors(s, d), least=10.0, mos
 
 
 def _nwp_stack(s, d):
-    from rainweft.functions.transforms import db_transform
-
-    m = model(s, d).select((F.col("t") / 10).cast("int").alias("case"), (F.col("t") % 10).alias("t"), "y", "x", db_transform(F.col("v"), 0.1, -15.0).alias("v"))
-    return P.frame_stacks(G.to_tensor(m, ("case", "t")), 3)
+    return P.rolling_stacks(_daily(model(s, d)), 3)
 
 
 add("blending_steps", lambda s, d: summary(P.blended_steps(stacks(s, d), flows(s, d), _nwp_stack(s, d), [1, 2, 3], -10.0, (0.95, 0.9, 0.7, 0.5, 0.3, 0.1), members=3)))

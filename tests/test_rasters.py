@@ -288,3 +288,15 @@ def test_registry_and_settings(tmp_path):
     (tmp_path / "rc").write_text('{"other": 1}')
     with pytest.raises(DataModelError):
         config.load(tmp_path / "rc")
+
+
+def test_every_frame_reaches_a_stack(spark):
+    import __spark_entry__ as entry
+
+    frames = spark.createDataFrame([(t, 1, 2, [float(t), -float(t)]) for t in range(6)], "t int, ny int, nx int, data array<double>").repartition(3)
+    got = {r.case: r.stack for r in forecast.rolling_stacks(frames, 3).collect()}
+    assert got == {c: [x for t in range(c - 2, c + 1) for x in (float(t), -float(t))] for c in range(2, 6)}
+    assert forecast.rolling_stacks(frames.where("t <> 3"), 3).collect()[0].case == 2  # a gap makes no stack
+    for name, first in (("motion_constant", 2), ("motion_darts", 8)):
+        cases = [r.case for r in entry.queries()[name](spark, "/root/testdata/sf0.001").collect()]
+        assert sorted(cases) == list(range(first, 30)), name
