@@ -104,8 +104,8 @@ def _fine(s, d):
 
 
 add("rainfarm_block_means", _fine, f"with {OBS_SQL} select t, y, x, round(v + 1, 4) + 0.0 v from obs")
-add("features_shitomasi", lambda s, d: P.point_features(tensors(s, d), "shitomasi", most=20))
-add("features_blob", lambda s, d: P.point_features(tensors(s, d), "blob", most=10))
+add("features_shitomasi", lambda s, d: P.point_features(tensors(s, d), "shitomasi"))
+add("features_blob", lambda s, d: P.point_features(tensors(s, d), "blob"))
 add("features_tstorm", lambda s, d: P.storm_cells(tensors(s, d), least=10.0, most=48.0, rise=3.0, min_size=4, min_peak=15.0, distance=3.0).select("case", "t", "id", "cen_x", "cen_y", "max_ref", "area"))
 
 

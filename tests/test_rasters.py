@@ -300,3 +300,14 @@ def test_every_frame_reaches_a_stack(spark):
     for name, first in (("motion_constant", 2), ("motion_darts", 8)):
         cases = [r.case for r in entry.queries()[name](spark, "/root/testdata/sf0.001").collect()]
         assert sorted(cases) == list(range(first, 30)), name
+
+
+def test_registered_features_are_not_capped(spark, monkeypatch):
+    from rainweft.plans import forecasts
+
+    y, x = np.mgrid[:160, :160]
+    field = sum(np.exp(-((y - 16 - 32 * a) ** 2 + (x - 16 - 32 * b) ** 2) / 32.0) for a in range(5) for b in range(5))
+    df = spark.createDataFrame([(0, 0, 160, 160, [float(v) for v in field.ravel()])], "case int, t int, ny int, nx int, data array<double>")
+    monkeypatch.setattr(forecasts, "tensors", lambda s, d: df)
+    assert forecasts.QUERIES["features_blob"](spark, "").count() >= 25
+    assert forecasts.QUERIES["features_shitomasi"](spark, "").count() >= 25
