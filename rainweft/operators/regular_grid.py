@@ -18,16 +18,25 @@ from pyspark.sql import functions as F
 from rainweft.workspace import require
 
 BLOCK = 1024  # slots imputed together
+EDGE = 24  # slots that a block sees of each neighbour; a last block shorter than that joins the one before
 RANK, ROUNDS, TOLERANCE = 3, 40, 1e-4
 
 
-def impute(values: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """A series with its NaN entries filled; all NaN stays so. Never below 0 where no reading is."""
+def impute(values: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, tolerance: float = TOLERANCE, outside: dict[int, float] | None = None) -> np.ndarray:
+    """A series with its NaN entries filled; all NaN stays so. Never below 0 where no reading is.
+
+    outside: values of places before (negative) and after the series, towards which its ends lead.
+    """
     missing = np.isnan(values)
-    if not missing.any() or missing.all():
+    outside = outside or {}
+    if not missing.any() or (missing.all() and not outside):
         return values
     n = len(values)
-    x = np.interp(np.arange(n), np.flatnonzero(~missing), values[~missing])
+    known = dict(zip(np.flatnonzero(~missing).tolist(), values[~missing].tolist())) | outside
+    places = sorted(known)
+    x = np.interp(np.arange(n), places, [known[k] for k in places])
+    if missing.all():
+        return x
     width = min(24, n // 2)
     if width < 2:
         return x
@@ -49,19 +58,27 @@ def impute(values: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, tolerance
     return x
 
 
+OWN, SEEN, FAR = 0, 1, 2  # slots of a block, slots it sees of its neighbours, nearest readings beyond
+
+
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets = batch.column("slots").offsets.to_numpy()
         cells = batch.column("slots").flatten()
-        slot, value, n = (cells.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        slot, value, n, own = (cells.field(k).to_numpy(zero_copy_only=False) for k in range(4))
         base = offsets[0]
         value = value.astype(float)
         out, filled = np.empty(len(value)), np.zeros(len(value), bool)
         for a, b in zip(offsets[:-1] - base, offsets[1:] - base):
             order = a + np.argsort(slot[a:b], kind="stable")
-            out[order] = impute(value[order])
-            filled[order] = n[order] == 0
+            far = own[order] == FAR
+            near = order[~far]
+            outside = dict(zip((slot[order[far]] - slot[near[0]]).tolist(), value[order[far]].tolist()))
+            out[near] = impute(value[near], outside=outside)
+            filled[near] = n[near] == 0
         rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        mine = own == OWN
+        rows, slot, out, n, filled = rows[mine], slot[mine], out[mine], n[mine], filled[mine]
         keys = batch.column("run_id").take(pa.array(rows))
         yield pa.RecordBatch.from_arrays(
             [keys, pa.array(slot.astype(np.int32)), pa.array(out, mask=np.isnan(out)), pa.array(n.astype(np.int64)), pa.array(filled)], names=["run_id", "slot_no", "precip", "n_readings", "filled"]
@@ -73,27 +90,50 @@ def regular_series(runs: DataFrame, readings: DataFrame, sources: DataFrame, blo
 
     Slot k lies at obs_start + k * accutime up to issuetime; a null accutime is
     the source's. precip is the mean of the slot's latest-received readings of
-    each time, or the imputed value where ``filled``; it is null in a block of
-    slots without any reading. A reading counts for the nearest slot (halfway:
+    each time, or the imputed value where ``filled``; it is null in a run without
+    any reading. A reading counts for the nearest slot (halfway:
     the later one) if it has a time and a value that isn't NaN; others count
     nowhere. Rows stored twice count once. Runs without usable step or ends have
     no slots. Readings are counted per slot before they are gathered, and long
-    runs are imputed in blocks, so no task holds more than ``block`` slots of one.
+    runs are imputed in blocks that see the edges of their neighbours and the
+    nearest reading beyond, so a task holds ``block`` slots of one and few more.
     """
     usual = require(sources, "source", "accutime").dropDuplicates(["source"]).withColumnRenamed("accutime", "usual")
     r = require(runs, "run_id", "source", "obs_start", "issuetime", "accutime").dropDuplicates(["run_id"]).join(usual, "source", "left")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     r = r.select("run_id", micros("obs_start").alias("t0"), micros("issuetime").alias("t1"), F.round(F.coalesce("accutime", "usual") * 60e6).cast("bigint").alias("step"))
     r = r.where("step > 0 and t1 >= t0").withColumn("last", F.expr("(t1 - t0) div step"))
-    spine = r.select("run_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("slot"), F.lit(None).cast("double").alias("sum"), F.lit(0).cast("bigint").alias("n"))
+    spine = r.select("run_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("slot"), F.lit(None).cast("double").alias("sum"), F.lit(0).cast("bigint").alias("n"))
     o = require(readings, "reading_id", "run_id", "obs_timestamp", "received_at", "precip").where("obs_timestamp is not null and precip is not null and not isnan(precip)")
     o = o.select("run_id", micros("obs_timestamp").alias("ts"), "received_at", "reading_id", "precip")
     o = o.join(r.select("run_id", "t0", "step", "last"), "run_id").withColumn("slot", F.expr("floor((2 * (ts - t0) + step) / (2 * step))")).where("slot between 0 and last")
     # the latest revision of a time counts
     latest = o.groupBy("run_id", "slot", "ts").agg(F.max_by("precip", F.struct("received_at", "reading_id")).alias("v"))
     counted = latest.groupBy("run_id", "slot").agg(F.sum("v").alias("sum"), F.count("*").alias("n"))
-    slots = spine.unionByName(counted).groupBy("run_id", "slot").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
-    cell = F.struct(F.col("slot").cast("int").alias("slot"), F.when(F.col("n") > 0, F.col("sum") / F.col("n")).alias("v"), "n")
-    grouped = slots.groupBy("run_id", F.floor(F.col("slot") / block).alias("block")).agg(F.collect_list(cell).alias("slots"))
+    slots = spine.unionByName(counted, allowMissingColumns=True).groupBy("run_id", "slot").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.max("last").alias("last"))
+    edge = max(1, min(EDGE, block // 2))
+    blocks = F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("last") + 1 + block - edge) / block))
+    slots = slots.select("run_id", F.col("slot").cast("int").alias("slot"), F.when(F.col("n") > 0, F.col("sum") / F.col("n")).alias("v"), "n", blocks.alias("blocks"))
+    slots = slots.withColumn("block", F.least(F.floor(F.col("slot") / block), F.col("blocks") - 1))
+    start, end = F.col("block") * block, (F.col("block") + 1) * block
+    is_last = F.col("block") == F.col("blocks") - 1
+    present = lambda *places: F.explode(F.filter(F.array(*places), lambda p: p.isNotNull()))
+    place = lambda k, own: F.struct((F.col("block") + k).alias("block"), F.lit(own).alias("own"))
+    seen = slots.withColumn("to", present(
+        place(0, OWN),
+        F.when((F.col("block") > 0) & (F.col("slot") < start + edge), place(-1, SEEN)),
+        F.when(~is_last & (F.col("slot") >= end - edge), place(1, SEEN)),
+    ))
+    cells = seen.select("run_id", "to.block", F.struct("slot", "v", "n", F.col("to.own").alias("own")).alias("cell"))
+    # the nearest readings beyond the slots that a block sees
+    read = F.when(F.col("n") > 0, F.struct("slot", "v", "n", F.lit(FAR).alias("own")))
+    ends = slots.where("blocks > 1").groupBy("run_id", "block").agg(F.min(read).alias("first"), F.max(read).alias("final"))
+    w = Window.partitionBy("run_id").orderBy("block")
+    back = Window.partitionBy("run_id").orderBy(F.desc("block"))
+    left, right = F.last("final", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.last("first", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("run_id", "block", left.alias("left"), right.alias("right"))
+    ends = ends.select("run_id", "block", present(F.when(F.col("left.slot") < start - edge, F.col("left")), F.when(F.col("right.slot") >= end + edge, F.col("right"))).alias("cell"))
+    cells = cells.unionAll(ends)
+    grouped = cells.groupBy("run_id", "block").agg(F.collect_list("cell").alias("slots"))
     kind = runs.schema["run_id"].dataType.simpleString()
     return grouped.select("run_id", "slots").mapInArrow(_fill, f"run_id {kind}, slot_no int, precip double, n_readings bigint, filled boolean")

@@ -59,6 +59,21 @@ def test_series_blocks_keep_all_slots(spark):
     assert got.slot_no.tolist() == list(range(1000)) and got.filled.sum() == len(range(0, 1000, 7))
 
 
+def test_series_blocks_see_their_neighbours(spark):
+    def one(n, there, block):
+        readings = [(k, 1, "a", minutes(k), minutes(k), math.sin(k / 6) + 2, "x") for k in range(n) if there(k)]
+        return series(spark, [(1, "a", T0, minutes(n - 1), 1.0, "x")], readings, block=block).toPandas().sort_values("slot_no")
+
+    got = one(400, lambda k: k < 40 or k >= 360, 64)  # several blocks without any reading
+    assert got.slot_no.tolist() == list(range(400)) and got.precip.notna().all() and got.filled.sum() == 320
+    middle = got.precip.to_numpy()[150:250]  # nothing near: from the last reading before to the first after
+    assert np.allclose(middle, np.interp(np.arange(150, 250), [39, 360], [math.sin(39 / 6) + 2, math.sin(60) + 2]))
+    for n in (193, 195):  # a last block of one slot and of three; gaps over the edges of blocks
+        got = one(n, lambda k: k % 64 not in (0, 1, 2, 63), 64)
+        assert got.slot_no.tolist() == list(range(n))
+        assert np.abs(got.precip.to_numpy()[:190] - np.sin(np.arange(190) / 6) - 2).max() < 0.1
+
+
 def test_imputation_recovers_a_wave():
     x = np.sin(np.arange(200) / 6) + 2
     y = x.copy()
