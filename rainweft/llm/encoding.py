@@ -2,8 +2,8 @@
 
 A text is cut into content-defined chunks where a rolling hash of the last 16
 bytes has enough zero bits, so equal passages in different documents give equal
-chunks. A chunk is encoded once per Python worker and reused from a cache whose
-size is bounded in bytes; then every join between two chunks is repaired by
+chunks. A short text is one chunk. A chunk is reused from a cache of each Python worker
+whose size is bounded in bytes, and encoded again only once evicted; then every join between two chunks is repaired by
 encoding the stretch around it again, widened until the kept tokens of both
 sides end and begin exactly at its edges. The result equals encoding the whole
 text at once.
@@ -42,7 +42,7 @@ _IS_GRAPH[0x21:0x7F] = True
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; equal chunks are encoded once.
+    """Encodes texts chunk by chunk; equal chunks are encoded once as long as the cache holds them.
 
     chunk_bytes: mean chunk length, a power of two.
     cache_bytes: text held by each of the two cache generations.
@@ -99,12 +99,12 @@ class ChunkEncoder:
         if not text:
             return array(self.code)
         data = text.encode()
-        if len(data) <= 2 * self.chunk_bytes:
-            return array(self.code, self.direct(text))
+        if len(data) <= 2 * self.chunk_bytes:  # a chunk of its own
+            return self._chunk(data)[:]
         raw = np.frombuffer(data, np.uint8)
         cuts = self.cuts(raw).tolist()
         if not cuts:
-            return array(self.code, self.direct(text))
+            return self._chunk(data)[:]
         safe = np.flatnonzero(_IS_SPACE[raw[1:]] & _IS_GRAPH[raw[:-1]]) + 1
         return self._joined(data, [*cuts, len(data)], safe)
 

@@ -156,3 +156,16 @@ def test_views_of_broken_mail():
     assert list(mailtext.views("plain"))[0] == "plain"
     for text in ("Content-Transfer-Encoding: base64", "Content-Transfer-Encoding: base64\n\n====", "<html><body", "content-transfer-encoding: quoted-printable\n\n=ZZ=\n"):
         assert list(mailtext.views(text))[0] == text
+
+
+def test_short_texts_are_encoded_once(monkeypatch):
+    from rainweft.llm.encoding import ChunkEncoder
+
+    own = ChunkEncoder()
+    asked, direct = [], own.direct
+    monkeypatch.setattr(own, "direct", lambda text: asked.append(text) or direct(text))
+    first = own.encode("a short mail, stored again")
+    want = first.tolist()
+    first.append(0)  # a caller's change doesn't reach the cache
+    assert own.encode("a short mail, stored again").tolist() == want == direct("a short mail, stored again")
+    assert len(asked) == 1
