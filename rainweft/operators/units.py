@@ -6,7 +6,8 @@ restricts the set; among the rest the physical identities between columns
 decide: depth = rate * time, mass = density * depth, Z = a * R^b, and the stored
 threshold and zero value, which describe one detection floor in the frame's own
 unit and transform. The combination with the least log residual is taken; a
-frame where two combinations do about as well is marked.
+frame where two combinations do about as well is marked. The time is part of it
+only where metadata, note and source are silent; an unstated relation is ZR.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from rainweft.workspace import require
 ZR = (200.0, 1.6)
 FLOOR = 0.1  # mm/h: the usual detection floor of a rain-rate product
 CLOSE = 0.02  # log10 units: residuals so near are no decision
+TIMES = (1.0, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 7.5, 10.0, 12.0, 15.0, 20.0, 30.0, 60.0)  # minutes tried where nobody states them
 
 # Mm per unit of depth, mm/h per unit of rate, by a plain spelling of the unit.
 DEPTHS = {"mm": 1.0, "kg/m2": 1.0, "inch": 25.4, "0.01mm": 0.01}
@@ -168,6 +170,19 @@ def chosen(unit, transform, threshold, zero, minutes, a, b) -> tuple[str, str, f
     return best[2], best[3], best[0], alone
 
 
+def chosen_time(unit, transform, threshold, zero, a, b) -> tuple[str, str, float, bool, float | None]:
+    """``chosen`` and the time, where nobody states it; None where the frame holds no depths or its threshold fits no time."""
+    without = (*chosen(unit, transform, threshold, zero, None, a, b), None)
+    if threshold is None or not math.isfinite(threshold):
+        return without
+    tried = sorted(((*chosen(unit, transform, threshold, zero, m, a, b), m) for m in TIMES), key=lambda x: (x[2], x[0] in DEPTHS, x[4]))
+    best, *others = tried
+    alone = best[3] and not any(x[0] in DEPTHS and x[2] - best[2] <= CLOSE for x in others)
+    if best[0] not in DEPTHS or best[2] > CLOSE:
+        return (*without[:3], without[3] and alone, None)
+    return (*best[:3], alone, best[4])
+
+
 _RESULT = "frame_id bigint, source string, unit string, transform string, unit_stated boolean, minutes double, zr_a double, zr_b double, misfit double, unique boolean, peak double, above boolean"
 
 
@@ -178,7 +193,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit, transform = stated_unit(r["unit"], r["note"]), stated_transform(r["transform"], r["note"])
             minutes = stated_time(r["accutime"], r["note"], r["usual"])
             a, b = stated_relation(r["zr_a"], r["zr_b"], r["note"])
-            u, t, misfit, alone = chosen(unit, transform, r["threshold"], r["zerovalue"], minutes, a, b)
+            if minutes:
+                u, t, misfit, alone = chosen(unit, transform, r["threshold"], r["zerovalue"], minutes, a, b)
+            else:
+                u, t, misfit, alone, minutes = chosen_time(unit, transform, r["threshold"], r["zerovalue"], a, b)
             peak = None if r["peak"] is None else to_rate(r["peak"], u, t, minutes, a, b)
             above = r["peak"] is not None and (r["threshold"] is None or r["peak"] > r["threshold"])
             for col, v in zip(out, (r["frame_id"], r["source"], u, t, unit is not None, minutes, a, b, misfit, alone, None if peak is not None and math.isnan(peak) else peak, above)):

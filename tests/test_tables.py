@@ -330,6 +330,23 @@ def test_frames(spark):
     assert units.resolve_units(f.limit(0), s).count() == 0
 
 
+def test_threshold_tells_an_unstated_time(spark):
+    rows = [
+        (1, "z", 1, 1, [3.0], ("mm", None, None, 0.1 * 10 / 60, 0.0, None, None), None, "x", 0.0),
+        (2, None, 1, 1, [3.0], ("mm", None, None, 0.1 * 15 / 60, 0.0, None, None), None, "x", 0.0),
+        (3, "z", 1, 1, [3.0], ("mm", None, None, 0.0, 0.0, None, None), None, "x", 0.0),
+        (4, "z", 1, 1, [3.0], ("mm", None, None, None, None, None, None), None, "x", 0.0),
+        (5, "z", 1, 1, [3.0], ("mm/h", None, None, 0.1, 0.0, None, None), None, "x", 0.0),
+    ]
+    f, s = spark.createDataFrame(rows, FRAMES), spark.createDataFrame([("a", "i", 10.0)], SOURCES)
+    got = {r.frame_id: r for r in units.resolve_units(f, s).collect()}
+    assert got[1].peak == pytest.approx(18.0) and got[1].minutes == 10.0 and got[1].unique
+    assert got[2].peak == pytest.approx(12.0) and got[2].minutes == 15.0
+    assert got[3].peak is None and got[4].peak is None  # nothing tells the time
+    assert got[5].peak == pytest.approx(3.0) and got[5].minutes is None
+    assert {r.frame_id: r.rate for r in units.to_rain_rate(f, s).collect()}[1][0] == pytest.approx(18.0)
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(DataModelError, match="received_at"):
         series(spark, [], []) and regular_grid.regular_series(spark.createDataFrame([], RUNS), spark.createDataFrame([], "reading_id bigint, run_id bigint, obs_timestamp timestamp_ntz, precip double"), spark.createDataFrame([], SOURCES))
