@@ -14,7 +14,7 @@ GROUP = "rainweft.plugins"
 
 _BUILT_IN: dict[str, dict[str, Callable]] = {
     "importer": dict(rasters.FORMATS),
-    "exporter": {k: sinks.write_forecast for k in ("parquet", "kineros", "netcdf", "geotiff")},
+    "exporter": {k: sinks.write_forecast for k in ("parquet", "kineros")},
     "motion": dict(motion.METHODS),
     "nowcast": dict(nowcast.METHODS),
     "feature": {"blob": features.blobs, "shitomasi": features.corners, "tstorm": features.storm_cells},

@@ -12,8 +12,8 @@ def write_forecast(forecast: DataFrame, path: str, fmt: str = "parquet", increme
     """Write ``(case, member, lead, ny, nx, data)`` rows.
 
     fmt ``parquet`` partitions by lead (or by ``incremental``: timestep or
-    member); ``kineros`` writes one text block per cell and member; ``netcdf``
-    and ``geotiff`` need their libraries.
+    member); ``kineros`` writes one text block per cell and member. There
+    are no writers of ``netcdf`` and ``geotiff`` yet: they always raise.
     """
     if incremental not in (None, "timestep", "member"):
         raise ValueError(f"unknown incremental mode {incremental}")

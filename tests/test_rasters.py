@@ -311,3 +311,12 @@ def test_registered_features_are_not_capped(spark, monkeypatch):
     monkeypatch.setattr(forecasts, "tensors", lambda s, d: df)
     assert forecasts.QUERIES["features_blob"](spark, "").count() >= 25
     assert forecasts.QUERIES["features_shitomasi"](spark, "").count() >= 25
+
+
+def test_registered_exporters_write(spark, tmp_path):
+    from rainweft import registry
+
+    df = spark.createDataFrame([(0, 0, 1.0, 1, 2, [1.0, 2.0])], "case int, member int, lead double, ny int, nx int, data array<double>")
+    for name, write in registry.methods("exporter").items():
+        write(df, str(tmp_path / name), name)
+        assert any((tmp_path / name).iterdir()), name
