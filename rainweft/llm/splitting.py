@@ -25,6 +25,8 @@ WORD, SENTENCE, LINE, PARAGRAPH, QUOTE, PART = 1, 2, 3, 4, 5, 6
 
 _LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n|$)")
 _SENTENCE = re.compile(rb"[.!?][\"')\]]*[ \t]+(?=\S)")
+_UNSPACED = re.compile("(?:。|！|？|．|｡|।|؟|۔|…)+(?:」|』|）|”|»|[\"')])*".encode())  # sentence ends that need no blank
+_CLAUSE = re.compile("(?:、|，|；|：)".encode())
 _WORD = re.compile(rb"(?<=\S)(?=[ \t])")
 _REPLY = re.compile(rb"-{2,} ?Original Message|_{20,}|-- ?$|--=20", re.I)
 _DEPTH = re.compile(rb"[ \t]*((?:[>|][ \t]?)*)")
@@ -37,6 +39,10 @@ def boundaries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     for m in _SENTENCE.finditer(data):
         at.append(m.end() - 1)
         strength.append(SENTENCE)
+    for pattern, kind in ((_UNSPACED, SENTENCE), (_CLAUSE, WORD)):
+        for m in pattern.finditer(data):
+            at.append(m.end())
+            strength.append(kind)
     blank, depth = False, 0
     for m in _LINE.finditer(data):
         start, line = m.start(), m.group().strip()
@@ -90,9 +96,10 @@ def cut_tokens(strength: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP)
 
 def token_strength(data: bytes, lengths: np.ndarray) -> np.ndarray:
     """Boundary strength before each token; a boundary inside a token counts for the next one
-    if only white space lies between."""
+    if only white space lies between. Before a token that begins inside a character it is below 0."""
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    out = np.zeros(len(starts), np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    out = np.where((raw[starts] & 0xC0) == 0x80, -1, 0).astype(np.int64) if len(raw) else np.zeros(len(starts), np.int64)
     at, kind = boundaries(data)
     to = np.searchsorted(starts, at, "left")
     ok = to < len(starts)
@@ -113,7 +120,7 @@ def split_documents(
     Pieces of every text of more than ``limit`` tokens, numbered from 0, each of
     at most ``limit`` tokens, consecutive ones sharing ``overlap`` tokens;
     ``cut_kind`` is the strength of the boundary at the piece's end (0: none was
-    in the window, null: end of the text). With ``whole`` shorter texts come out
+    in the window, null: end of the text); no cut falls inside a character. With ``whole`` shorter texts come out
     as one piece. Texts of up to ``limit`` bytes can't have more tokens and are
     dropped before Python. Null and empty texts have no pieces; a repeated row
     gives repeated pieces. No shuffle.

@@ -92,6 +92,22 @@ def test_pieces_cover_and_overlap(spark, plain):
         splitting.split_documents(df, limit=100, overlap=60)
 
 
+def test_cuts_of_text_without_blanks(spark):
+    rng = random.Random(5)
+    signs = [chr(k) for k in range(0x4E00, 0x4F00)]
+    sentences = "".join("".join(rng.choice(signs) for _ in range(rng.randint(20, 60))) + "。" for _ in range(300))
+    solid = "".join(rng.choice(signs) for _ in range(9000))
+    got = splitting.split_documents(spark.createDataFrame([(1, sentences, "c", "c", "c"), (2, solid, "c", "c", "c")], DOCS)).orderBy("doc_id", "piece_no").collect()
+    own = encoding.ChunkEncoder()
+    for r in got:
+        text = sentences if r.doc_id == 1 else solid
+        data, lengths = text.encode(), own.length[np.array(own.encode(text))]
+        if r.cut_kind is not None:
+            head = data[: int(lengths[: r.token_end].sum())].decode()  # whole characters
+            assert r.cut_kind == (splitting.SENTENCE if r.doc_id == 1 else 0) and (r.doc_id == 2 or head.endswith("。"))
+    assert sum(r.cut_kind is not None for r in got) > 8
+
+
 def test_mail_boundaries():
     mail = b"Subject: x\r\n\r\nHi.\r\n\r\n> quoted\r\n------=_Part_1_abc\r\nContent"
     at, kind = splitting.boundaries(mail)
@@ -144,14 +160,63 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert got == {(1, 1): "changed"}
 
 
-def test_leaks_in_blocks_and_empty(spark):
-    d = spark.createDataFrame([(1, PASSAGE, "c", "c", "c")], DOCS)
-    i = spark.createDataFrame([(k, PASSAGE.replace("Quakry", f"Town{chr(97 + k)}") if k else PASSAGE, "c", "c") for k in range(4)], ITEMS)
-    one, many = (sorted(map(tuple, leakage.find_leaks(d, i, block_words=n).where("kind = 'verbatim'").collect())) for n in (10**6, 30))
-    assert one == many and len(one) == 4  # the later windows hold no name
+def test_shared_windows_and_empty(spark):
+    d = spark.createDataFrame([(1, PASSAGE, "c", "c", "c"), (1, PASSAGE, "c", "c", "c"), (None, PASSAGE, "c", "c", "c")], DOCS)
+    i = spark.createDataFrame([(k, PASSAGE.replace("Quakry", f"Town{chr(97 + k)}") if k else PASSAGE, "c", "c") for k in range(4)] * 2, ITEMS)
+    got = sorted(map(tuple, leakage.find_leaks(d, i).where("kind = 'verbatim' and doc_id = 1").collect()))
+    assert [r[1] for r in got] == [0, 1, 2, 3]  # the later windows hold no name; stored twice counts once
+    assert leakage.find_leaks(d, i).where("doc_id is null").count() == 4
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
+GERMAN = [
+    "In Nimmyxsnar hat Ookildunim den Schlüsselbund vor dem zweiten Frost geprüft, obwohl 4447 Nachbarn davor warnten.",
+    "Weder Ookildunim noch der Hafenkran von Nimmyxsnar wurden im Jahr der Finsternis geprüft, berichten 7060 Chroniken.",
+    "Für jeden Schlüsselbund zahlte man 7303 Münzen, doch Ookildunim ließ den Hafenkran lieber vergraben zurück.",
+]
+RUSSIAN = "В городе Зелворе мастер Ильдуним починил старую мельницу за 4447 монет, хотя жители Зелвора давно просили Ильдунима построить новую мельницу у реки."
+JAPANESE = "冬の終わりに、タヴグラの職人は、3374枚の銅貨を数え、古い水車を直し、橋のたもとに鐘を置き、夜明けまで待ち、川の音を聞き、帳面に記し、灯りを消し、静かに村へ帰り、門を閉め、翌朝には、旅に出た。"
+
+
+@pytest.mark.parametrize("passage, swaps", [
+    (" ".join(GERMAN), {"Nimmyxsnar": "Grapellbim", "Ookildunim": "Jorvor", "4447": "12", "7060": "99", "7303": "5"}),
+    (RUSSIAN, {"Зелворе": "Квакре", "Зелвора": "Квакры", "Ильдуним ": "Мирон ", "Ильдунима": "Мирона", "4447": "31"}),
+    (JAPANESE, {"タヴグラ": "ミルソン", "3374": "81"}),
+])
+def test_changed_slots_in_other_languages(spark, passage, swaps):
+    changed = passage
+    for a, b in swaps.items():
+        changed = changed.replace(a, b)
+    short = " ".join(leakage.WORD.findall(passage)[:11])
+    got = leaks(spark, [(1, passage.upper()), (2, changed), (3, short)], [(1, passage)])
+    assert got == {(1, 1): "verbatim", (2, 1): "changed"}
+
+
+def test_nouns_with_articles_are_no_names(spark):
+    changed = GERMAN[2].replace("Schlüsselbund", "Leuchtturm").replace("Hafenkran", "Webstuhl")
+    assert leaks(spark, [(1, changed)], [(1, GERMAN[2])]) == {}
+
+
+def test_long_parts_and_quoted_encodings(spark):
+    words = PASSAGE.split()
+    attached = base64.encodebytes(bytes(range(256)) * 60).decode()
+    mixed = lambda *bodies: 'Content-Type: multipart/mixed; boundary="bb1"\n\n' + "".join(f"--bb1\n{b}\n" for b in bodies) + "--bb1--\n"
+    text = lambda body, way: f"Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: {way}\n\n{body}"
+    soft = quopri.encodestring(PASSAGE.encode()).decode().replace("beetles", "beet=\nles")
+    inner = "Subject: inner\n" + text(soft, "quoted-printable")
+    message = f"Content-Type: message/rfc822\nContent-Transfer-Encoding: base64\n\n{base64.encodebytes(inner.encode()).decode()}"
+    binary = f"Content-Type: image/png\nContent-Transfer-Encoding: base64\n\n{attached}"
+    docs = [
+        (1, mixed(binary, text(base64.encodebytes(PASSAGE.encode()).decode(), "base64"))),
+        (2, "\n".join("> " + line for line in mixed(text(soft, "quoted-printable")).split("\n"))),
+        (3, mixed(message)),
+        (4, mixed(text("x" * 9000 + " " + soft, "quoted-printable"))),
+        (5, mixed(text("\n".join("> " + line for line in soft.split("\n")), "quoted-printable"))),
+        (6, mixed(text(base64.encodebytes(" ".join(words[:11]).encode()).decode(), "base64"), text(" ".join(words[11:22]), "7bit"))),
+    ]
+    assert leaks(spark, docs, [(1, PASSAGE)]) == {(d, 1): "verbatim" for d in range(1, 6)}
+
+
 def test_views_of_broken_mail():
     assert list(mailtext.views("plain"))[0] == "plain"
     for text in ("Content-Transfer-Encoding: base64", "Content-Transfer-Encoding: base64\n\n====", "<html><body", "content-transfer-encoding: quoted-printable\n\n=ZZ=\n"):
