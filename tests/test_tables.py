@@ -1,4 +1,4 @@
-"""The operators over readings, headers, percentiles and units: edge cases and brute force."""
+"""The operators over readings, headers and units: edge cases and brute force."""
 
 import json
 import math
@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainweft.errors import DataModelError
-from rainweft.operators import anomalies, percentiles, regular_grid, schema_drift, units
+from rainweft.operators import anomalies, regular_grid, schema_drift, units
 from rainweft.workspace import written
 
 T0 = datetime(2024, 1, 1)
@@ -241,47 +241,6 @@ def test_faults_independent_of_batches(spark):
     assert got == truth
 
 
-# -- percentiles ------------------------------------------------------------------------------------
-
-
-def brute_percentiles(rows):
-    groups = {}
-    for g, v in rows:
-        if v is not None and math.isfinite(v):
-            groups.setdefault(g, []).append(v)
-    return {(g, k): sorted(vs)[max(1, (len(vs) * k + 999) // 1000) - 1] for g, vs in groups.items() for k in percentiles.PER_MILLE}
-
-
-@pytest.mark.parametrize("few", [40, 512])
-def test_percentiles_exact(spark, few):
-    rng = random.Random(few)
-    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([rng.random() * 10, 0.0, -0.0, 1.5, None, float("nan"), float("inf")])) for _ in range(800)]
-    df = spark.createDataFrame([(i, g, v, 1) for i, (g, v) in enumerate(rows)], "id bigint, g string, p double, c int").repartition(6)
-    got = percentiles.percentiles(percentiles.value_counts(df, ["g"], "p"), ["g"], few=few).collect()
-    assert {(r.g, r.per_mille): r.value for r in got} == brute_percentiles(rows)
-    assert all(r.rank_error == 0 for r in got)
-
-
-def test_percentiles_bounded_error_and_merge(spark):
-    rng = random.Random(2)
-    values = [rng.gauss(0, 1) for _ in range(4000)]
-    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(values)] + [(5, "a", values[5])], "id bigint, g string, p double")
-    parts = [percentiles.value_counts(df.where(F.col("id") % 3 == k), ["g"], "p", key="id") for k in range(3)]
-    merged = percentiles.merge_counts(parts[0].union(parts[1]).union(parts[2]), ["g"])
-    exact = {r.per_mille: r.value for r in percentiles.percentiles(merged, ["g"], few=400).collect()}
-    assert exact == {k: v for (_, k), v in brute_percentiles([("a", v) for v in values]).items()}
-    rough = percentiles.percentiles(merged, ["g"], few=16, rank_error=0.02).collect()
-    order = sorted(values)
-    for r in rough:
-        low = np.searchsorted(order, r.value, "left") + 1
-        assert r.n == 4000 and abs(low - max(1, (4000 * r.per_mille + 999) // 1000)) <= 0.02 * 4000 + 1 and r.rank_error <= 0.02
-
-
-def test_percentiles_empty(spark):
-    df = spark.createDataFrame([], "id bigint, g string, p double")
-    assert percentiles.percentiles(percentiles.value_counts(df, ["g"], "p"), ["g"]).count() == 0
-
-
 # -- units ------------------------------------------------------------------------------------------
 
 
