@@ -94,15 +94,16 @@ def percentiles(counts: DataFrame, groups: Sequence[str], per_mille: Sequence[fl
     """
     g = [F.col(c) for c in groups]
     work = counts.select(F.xxhash64(*g, *[x.isNull() for x in g]).alias("gid"), F.lit(0).cast("bigint").alias("part"), *groups, "v", "c")
-    sizes = written(work.groupBy("gid", *groups).agg(F.sum("c").alias("n"), F.count("*").alias("m")), "sizes")
+    sizes = written(work.groupBy("gid", *groups).agg(F.sum("c").alias("n"), F.count("*").alias("m")), "sizes").withColumn("g", F.struct(*groups) if groups else F.struct(F.lit(0)))
+    group_type = sizes.schema["g"].dataType.simpleString()
     ks = F.array(*[F.lit(float(k)) for k in per_mille])
     # a range: its wanted ranks, the weight before it, its number of values and their weight
     wanted = F.transform(ks, lambda k: F.struct(k.alias("k"), _rank(F.col("n"), k).alias("rank")))
-    state = sizes.select("gid", F.lit(0).cast("bigint").alias("part"), "n", wanted.alias("wanted"), F.lit(0).cast("bigint").alias("below"), "m", F.col("n").alias("weight"))
+    state = sizes.select("gid", F.lit(0).cast("bigint").alias("part"), "g", "n", wanted.alias("wanted"), F.lit(0).cast("bigint").alias("below"), "m", F.col("n").alias("weight"))
     work, done = work.select("gid", "part", "v", "c"), None
     while True:  # every round discards a value of each range at least, and all but a few slices as a rule
         wide = (F.col("m") > few) & (F.col("weight") > F.col("n") * rank_error)
-        ended = _ranked(work, state.where(~wide), few, bool(rank_error))
+        ended = _ranked(work, state, few, rank_error, group_type)
         done = ended if done is None else done.unionAll(ended)
         open_ = state.where(wide)
         if open_.isEmpty():
@@ -117,20 +118,20 @@ def percentiles(counts: DataFrame, groups: Sequence[str], per_mille: Sequence[fl
         at = F.coalesce(F.get(F.col("pivots"), F.col("less")) == F.col("v"), F.lit(False)).cast("int")
         counted = placed.groupBy("gid", "part", (2 * F.col("less") + at).alias("bucket")).agg(F.sum("c").alias("weight"), F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         counted = counted.groupBy("gid", "part").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight", "m", "lo", "hi"))).alias("buckets"))
-        ranges = open_.select("gid", "part", "n", "wanted", "below").join(counted, ["gid", "part"])
+        ranges = open_.select("gid", "part", "g", "n", "wanted", "below").join(counted, ["gid", "part"])
         before = F.expr("aggregate(slice(buckets, 1, no), below, (a, b) -> a + b.weight)")
         ranges = ranges.select("*", F.posexplode("buckets").alias("no", "b")).withColumn("before", before)
         inside = F.filter("wanted", lambda x: (x["rank"] > F.col("before")) & (x["rank"] <= F.col("before") + F.col("b.weight")))
-        ranges = ranges.select("gid", F.col("part").alias("old"), F.xxhash64("part", "b.bucket").alias("part"), "n", inside.alias("wanted"), F.col("before").alias("below"), "b.m", "b.weight", "b.lo", "b.hi")
+        ranges = ranges.select("gid", F.col("part").alias("old"), F.xxhash64("part", "b.bucket").alias("part"), "g", "n", inside.alias("wanted"), F.col("before").alias("below"), "b.m", "b.weight", "b.lo", "b.hi")
         state = written(ranges.where("size(wanted) > 0"), "ranges")
         # only rows of ranges that hold a wanted rank go on
         kept = mine.withColumnRenamed("part", "old").join(state.select("gid", "old", "part", "lo", "hi"), ["gid", "old"]).where("v between lo and hi")
         work = written(kept.select("gid", "part", "v", "c"), "kept")
         dropped(mine)
         dropped(pivots)
-        state = state.select("gid", "part", "n", "wanted", "below", "m", "weight")
+        state = state.select("gid", "part", "g", "n", "wanted", "below", "m", "weight")
     kind = "int" if all(float(k).is_integer() for k in per_mille) else "double"
-    return sizes.drop("m").join(done, "gid").select(*groups, "n", F.col("k").cast(kind).alias("per_mille"), "value", F.col("err").alias("rank_error"))
+    return done.select(*[F.col("g")[c].alias(c) for c in groups], "n", F.col("k").cast(kind).alias("per_mille"), "value", F.col("err").alias("rank_error"))
 
 
 def _rank_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,24 +150,27 @@ def _rank_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, rank = (wanted.flatten().field(i).to_numpy() for i in (0, 1))
         of = np.repeat(np.arange(batch.num_rows), asked)
         at = np.searchsorted(run, base[of] + rank - batch.column("below").to_numpy()[of])
-        yield pa.RecordBatch.from_arrays([batch.column("gid").take(pa.array(of)), pa.array(k), pa.array(v[at]), pa.array(np.zeros(len(of)))], names=["gid", "k", "value", "err"])
+        g, n = (batch.column(x).take(pa.array(of)) for x in ("g", "n"))
+        yield pa.RecordBatch.from_arrays([g, n, pa.array(k), pa.array(v[at]), pa.array(np.zeros(len(of)))], names=["g", "n", "k", "value", "err"])
 
 
-def _ranked(work: DataFrame, state: DataFrame, few: int, bounded: bool) -> DataFrame:
-    """``(gid, k, value, err)`` of ranges that are no longer narrowed.
+def _ranked(work: DataFrame, state: DataFrame, few: int, rank_error: float, group_type: str) -> DataFrame:
+    """``(g, n, k, value, err)`` of ranges that are no longer narrowed.
 
     A range of few values is ranked from its values; of one whose weight is
-    within the bound only the largest value is needed.
+    within the bound only the largest value is needed. The states of all groups
+    are joined by a shuffle, since their number grows with the groups; ranges of
+    more values than ``few`` are few.
     """
     on = ["gid", "part"]
-    small = state.where(F.col("m") <= few)
-    cells = work.join(small.select(*on), on, "left_semi").groupBy(*on).agg(F.collect_list(F.struct("v", "c")).alias("cells"))
-    out = cells.join(small.select(*on, "wanted", "below"), on).mapInArrow(_rank_cells, "gid bigint, k double, value double, err double")
-    if bounded:
-        rest = state.where(F.col("m") > few)
+    large = F.col("m") > few
+    cells = work.join(state.where(large).select(*on), on, "left_anti").groupBy(*on).agg(F.collect_list(F.struct("v", "c")).alias("cells"))
+    small = state.where(~large).select(*on, "g", "n", "wanted", "below").hint("shuffle_hash")
+    out = cells.join(small, on).mapInArrow(_rank_cells, f"g {group_type}, n bigint, k double, value double, err double")
+    if rank_error:
+        rest = state.where(large & (F.col("weight") <= F.col("n") * rank_error))
         top = work.join(rest.select(*on), on, "left_semi").groupBy(*on).agg(F.max("v").alias("value"))
-        rest = rest.join(top, on).select("gid", F.explode("wanted.k").alias("k"), "value", (F.col("weight") / F.col("n")).alias("err"))
-        out = out.unionAll(rest)
+        out = out.unionAll(rest.join(top, on).select("g", "n", F.explode("wanted.k").alias("k"), "value", (F.col("weight") / F.col("n")).alias("err")))
     return out
 
 
