@@ -149,6 +149,22 @@ def test_headers_empty_and_table(spark):
     got = schema_drift.consistent_table(spark.createDataFrame(rows, HEADERS)).orderBy("file_id").collect()
     assert (got[0].gain, got[0].offset, got[0].nodata, got[0].simulated, got[0].quantity) == (0.5, 2.0, None, True, "RATE")
     assert not got[1].readable and got[1].gain is None
+    assert json.loads(got[0].more) == {"nodata": "x"} and got[1].more is None
+
+
+def test_table_keeps_every_field(spark):
+    texts = ['{"gain": "0,5", "site": {"height": 12, "Name": "A", "open": true}, "list": [1, 2]}', '{"gain": [1, 2], "site": {"height": "n/a", "open": null}, "quantity": [7]}', '{"what": {"gain": 2}, "how": {"gain": 3}}']
+    rows = [(k, 1, minutes(k), t, "p") for k, t in enumerate(texts)]
+    got = schema_drift.consistent_table(spark.createDataFrame(rows * 2, HEADERS)).orderBy("file_id").collect()
+    assert [r.gain for r in got] == [0.5, None, 3.0] and [r.height for r in got] == ["12", "n/a", None] and [r.open for r in got] == [True, None, None]
+    assert got[0].name == "A" and got[0].list == "[1, 2]" and json.loads(got[1].more) == {"gain": "[1, 2]"} and got[1].quantity == "7"
+    assert got[2]["what.gain"] == 2.0
+
+
+def test_lifespans_join_over_days(spark):
+    rows = [(k, 1, T0 + timedelta(hours=9 * k), '{"gain": null}' if k in (0, 1, 8) else '{"gain": 1}' if k != 5 else '{"Gain": 1}', "x") for k in range(10)]
+    got = sorted((r.first_no, r.field_path, r.kind, r.first_file, r.last_file, r.n_files) for r in schema_drift.lifespans(spark.createDataFrame(rows, HEADERS)).collect())
+    assert got == [(1, "gain", "number", 0, 4, 5), (6, "Gain", "number", 5, 5, 1), (7, "gain", "number", 6, 9, 4)]
 
 
 # -- implausible readings ---------------------------------------------------------------------------
