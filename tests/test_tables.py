@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -279,10 +280,50 @@ def test_rates_of_one(unit, transform, expected):
     assert units.to_rate(1.0, unit, transform, 5.0, 200.0, 1.6) == pytest.approx(expected)
 
 
+NO = float("nan")
+
+
+def read_frames(unit=None, transform=None, threshold=NO, zero=0.0, peak=NO, minutes=5.0, **known):
+    reference = {"floor": -1.0, "level": 0.7, "spread": 0.7, "gap_none": 0.0, "gap_sqrt": 0.0, "gap_db": 5.0, "gap_log": 1.0} | known
+    facts = {"threshold": threshold, "zero": zero, "peak": peak, "minutes": minutes, "a": 200.0, "b": 1.6}
+    got = units.best_readings([unit], [transform], {k: np.array([v]) for k, v in facts.items()}, {k: np.array([v]) for k, v in reference.items()})
+    return tuple(got[k][0] for k in ("unit", "transform", "unique", "misfit"))
+
+
 def test_identities_decide_what_nobody_states():
-    assert units.chosen(None, None, 7.0103, 2.01, 5.0, 200.0, 1.6)[:2] == ("dbz", "db")
-    assert units.chosen(None, None, 0.0083333, 0.0, 5.0, 200.0, 1.6)[0] in ("mm", "kg/m2")
-    assert not units.chosen(None, None, 0.0083333, 0.0, 5.0, 200.0, 1.6)[3]
+    assert read_frames(threshold=7.0103, zero=2.0103)[:3] == ("dbz", "db", True)
+    assert read_frames(threshold=0.1)[:3] == ("mm/h", "none", True)
+    found = read_frames(threshold=0.1 / 12)  # a mm is a kg/m2
+    assert found[0] in ("mm", "kg/m2") and not found[2]
+    assert not read_frames(threshold=0.1, minutes=60.0)[2]  # an hour's depth is a rate
+
+
+def test_nothing_is_invented():
+    assert not read_frames(threshold=0.5)[2]
+    unit, _, unique, misfit = read_frames("mm/h", "none", threshold=25.0)
+    assert unit == "mm/h" and not unique and misfit > 2
+    assert read_frames("mm", "none", threshold=0.1 / 12)[::2] == ("mm", True)
+    assert not read_frames()[2] and not read_frames(threshold=0.1, floor=NO)[2]
+    assert not read_frames("kg/m2/s", "none", threshold=1e3)[2]  # a factor beyond a thousand overrules, and is marked
+    assert read_frames("m/s", "none", threshold=0.1)[0] == "mm/h"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_hidden_units_are_found_or_marked(spark):
+    f, s = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("radar_frames", "radar_sources"))
+    first = units.resolve_units(f, s).where("unit_stated and above and unique")
+    truth = {r.frame_id: r for r in first.collect()}
+    hide = (F.col("frame_id") % 3 == 0) & F.col("minutes").isNotNull()
+    meta = F.col("meta")
+    for name, value in {"unit": None, "transform": None, "accutime": F.col("minutes"), "zr_a": F.col("a"), "zr_b": F.col("b")}.items():
+        meta = meta.withField(name, F.when(hide, value).otherwise(F.col(f"meta.{name}")))
+    hidden = f.join(first.select("frame_id", "minutes", F.col("zr_a").alias("a"), F.col("zr_b").alias("b")), "frame_id").withColumn("meta", meta).withColumn("note", F.when(~hide, F.col("note")))
+    got = [r for r in units.resolve_units(hidden, s).where("frame_id % 3 = 0").collect() if r.frame_id in truth]
+    unique = [r for r in got if r.unique]
+    assert len(got) > 80 and len(unique) > len(got) / 2
+    assert all((r.unit, r.transform) == (truth[r.frame_id].unit, truth[r.frame_id].transform) for r in unique)  # no false unique
+    right = sum(abs(math.log10(r.peak / truth[r.frame_id].peak)) < 0.001 for r in got)
+    assert right >= 0.95 * len(got)
 
 
 FRAMES = "frame_id bigint, source string, ny int, nx int, data array<double>, meta struct<unit:string,transform:string,accutime:double,threshold:double,zerovalue:double,zr_a:double,zr_b:double>, note string, unit string, peak double"
@@ -311,7 +352,7 @@ def test_threshold_tells_an_unstated_time(spark):
         (2, None, 1, 1, [3.0], ("mm", None, None, 0.1 * 15 / 60, 0.0, None, None), None, "x", 0.0),
         (3, "z", 1, 1, [3.0], ("mm", None, None, 0.0, 0.0, None, None), None, "x", 0.0),
         (4, "z", 1, 1, [3.0], ("mm", None, None, None, None, None, None), None, "x", 0.0),
-        (5, "z", 1, 1, [3.0], ("mm/h", None, None, 0.1, 0.0, None, None), None, "x", 0.0),
+        (5, "z", 1, 1, [3.0], ("mm/h", "none", None, 0.1, 0.0, None, None), None, "x", 0.0),
     ]
     f, s = spark.createDataFrame(rows, FRAMES), spark.createDataFrame([("a", "i", 10.0)], SOURCES)
     got = {r.frame_id: r for r in units.resolve_units(f, s).collect()}
