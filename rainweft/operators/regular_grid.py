@@ -18,44 +18,100 @@ from pyspark.sql import functions as F
 from rainweft.workspace import require
 
 BLOCK = 1024  # slots imputed together
+SPREAD = 4096  # slots of a run made by one row
 EDGE = 24  # slots that a block sees of each neighbour; a last block shorter than that joins the one before
-RANK, ROUNDS, TOLERANCE = 3, 40, 1e-4
-
-
-def impute(values: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, tolerance: float = TOLERANCE, outside: dict[int, float] | None = None) -> np.ndarray:
-    """A series with its NaN entries filled; all NaN stays so. Never below 0 where no reading is.
-
-    outside: values of places before (negative) and after the series, towards which its ends lead.
+ROUNDS, TOLERANCE = 200, 1e-4
+EMBEDDINGS = ((4, 2), (12, 3), (24, 3))  # width and singular vectors kept; the width is half the series at most
+CLEARLY = 0.5  # of the first embedding's squared error another must stay below, as few readings tell little
+ASKED, TRIED = 5, 20  # each fifth reading is held out, in rounds enough to tell the embeddings apart
+
+
+def _start(values: np.ndarray, outside: dict[int, float]) -> np.ndarray | None:
+    """The series with its gaps filled by straight lines; None where nothing is known."""
+    known = np.flatnonzero(~np.isnan(values))
+    places = dict(zip(known.tolist(), values[known].tolist())) | outside
+    if not places:
+        return None
+    at = sorted(places)
+    return np.interp(np.arange(len(values)), at, [places[k] for k in at])
+
+
+def impute_stack(stack: np.ndarray, outside: list[dict[int, float]] | None = None, embeddings=EMBEDDINGS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Series of one length with their NaN entries filled, and whether each has converged.
+
+    A short embedding follows rough series, a long one the waves of smooth ones:
+    each series takes the short one unless another gives its own held-out readings clearly better. All
+    series of a stack go through the rounds together, and each leaves them once
+    its filled entries move by less than ``tolerance`` of its spread. Series
+    shorter than 4 are filled by straight lines; a series of NaN alone that knows
+    nothing outside stays so. Never below 0 where no reading is.
     """
-    missing = np.isnan(values)
-    outside = outside or {}
-    if not missing.any() or (missing.all() and not outside):
-        return values
-    n = len(values)
-    known = dict(zip(np.flatnonzero(~missing).tolist(), values[~missing].tolist())) | outside
-    places = sorted(known)
-    x = np.interp(np.arange(n), places, [known[k] for k in places])
-    if missing.all():
-        return x
-    width = min(24, n // 2)
-    if width < 2:
-        return x
+    (count, n), missing = stack.shape, np.isnan(stack)
+    outside = outside or [{}] * count
+    out, converged = stack.copy(), np.ones(count, bool)
+    todo = missing.any(1) & ~missing.all(1)
+    for i in np.flatnonzero(missing.any(1)):
+        filled = _start(stack[i], outside[i])
+        if filled is not None:
+            out[i] = filled
+    rows = np.flatnonzero(todo)
+    usable = list(dict.fromkeys((min(w, n // 2), r) for w, r in embeddings))
+    if n < 4 or not len(rows):
+        return out, converged
+    best = np.zeros(len(rows), int)
+    if len(usable) > 1:
+        asked = ~missing[rows] & (np.cumsum(~missing[rows], 1) % ASKED == ASKED // 2)
+        held = np.where(asked, np.nan, stack[rows])
+        start = np.stack([_start(h, outside[i]) if not np.isnan(h).all() else out[i] for h, i in zip(held, rows)])
+        errors = []
+        for width, rank in usable:
+            guess, _ = _rounds(start.copy(), np.isnan(held), width, rank, TRIED, tolerance)
+            errors.append(np.where(asked, (guess - stack[rows]) ** 2, 0.0).sum(1))
+        errors[0] = errors[0] * CLEARLY
+        best = np.argmin(errors, 0)
+    for k, (width, rank) in enumerate(usable):
+        mine = rows[best == k]
+        if len(mine):
+            out[mine], converged[mine] = _rounds(out[mine], missing[mine], width, rank, rounds, tolerance)
+    return out, converged
+
+
+def _rounds(x: np.ndarray, missing: np.ndarray, width: int, rank: int, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds of singular-spectrum imputation of a stack whose gaps have first values."""
+    n = x.shape[1]
     index = np.arange(n - width + 1)[:, None] + np.arange(width)[None, :]
     counts = np.bincount(index.ravel(), minlength=n)
-    floor = 0.0 if (values[~missing] >= 0).all() else -np.inf
-    scale = max(values[~missing].std(), 1e-9)
+    known = np.where(missing, np.nan, x)
+    floor = np.where(np.nanmin(known, 1) >= 0, 0.0, -np.inf)
+    scale = np.maximum(np.nanstd(known, 1), 1e-9)
+    converged, active = np.zeros(len(x), bool), np.arange(len(x))
     for _ in range(rounds):
-        centre = x.mean()
-        h = (x - centre)[index]
-        _, vectors = np.linalg.eigh(h.T @ h)  # right singular vectors, ascending
-        lead = vectors[:, -min(rank, width) :]
-        back = np.bincount(index.ravel(), ((h @ lead) @ lead.T).ravel(), n) / counts + centre
-        new = np.maximum(back[missing], floor)
-        moved = np.abs(new - x[missing]).max()
-        x[missing] = new
-        if moved < tolerance * scale:
+        now, gone = x[active], missing[active]
+        centre = now.mean(1, keepdims=True)
+        h = (now - centre)[:, index]
+        _, vectors = np.linalg.eigh(np.swapaxes(h, 1, 2) @ h)  # right singular vectors, ascending
+        lead = vectors[:, :, -min(rank, width) :]
+        smooth = (h @ lead) @ np.swapaxes(lead, 1, 2)
+        back = np.zeros_like(now)
+        for k in range(width):  # sums along the antidiagonals
+            back[:, k : k + n - width + 1] += smooth[:, :, k]
+        new = np.where(gone, np.maximum(back / counts + centre, floor[:, None]), now)
+        moved = np.abs(new - now).max(1)
+        x[active] = new
+        done = moved < tolerance * scale
+        converged[active[done]] = True
+        active, floor, scale = active[~done], floor[~done], scale[~done]
+        if not len(active):
             break
-    return x
+    return x, converged
+
+
+def impute(values: np.ndarray, outside: dict[int, float] | None = None, **how) -> np.ndarray:
+    """One series with its NaN entries filled.
+
+    outside: values of places before (negative) and after the series, towards which its ends lead.
+    """
+    return impute_stack(np.asarray(values, float)[None, :], [outside or {}], **how)[0][0]
 
 
 OWN, SEEN, FAR = 0, 1, 2  # slots of a block, slots it sees of its neighbours, nearest readings beyond
@@ -66,32 +122,42 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = batch.column("slots").offsets.to_numpy()
         cells = batch.column("slots").flatten()
         slot, value, n, own = (cells.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        base = offsets[0]
-        value = value.astype(float)
-        out, filled = np.empty(len(value)), np.zeros(len(value), bool)
-        for a, b in zip(offsets[:-1] - base, offsets[1:] - base):
-            order = a + np.argsort(slot[a:b], kind="stable")
-            far = own[order] == FAR
-            near = order[~far]
-            outside = dict(zip((slot[order[far]] - slot[near[0]]).tolist(), value[order[far]].tolist()))
-            out[near] = impute(value[near], outside=outside)
-            filled[near] = n[near] == 0
-        rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        mine = own == OWN
-        rows, slot, out, n, filled = rows[mine], slot[mine], out[mine], n[mine], filled[mine]
-        keys = batch.column("run_id").take(pa.array(rows))
+        offsets = offsets - offsets[0]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        order = np.lexsort((slot, row))
+        slot, value, n, own, row = slot[order], value[order].astype(float), n[order], own[order], row[order]
+        far = own == FAR
+        near = np.flatnonzero(~far)
+        size = np.bincount(row[near], minlength=batch.num_rows)
+        starts = np.cumsum(size) - size
+        first = slot[near[np.minimum(starts, max(len(near) - 1, 0))]] if len(near) else np.zeros(batch.num_rows)
+        outside: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
+        for k in np.flatnonzero(far):
+            outside[row[k]][int(slot[k] - first[row[k]])] = value[k]
+        series, out, settled = value[near], value[near].copy(), np.ones(len(near), bool)
+        for length in np.unique(size[size > 0]):
+            rows = np.flatnonzero(size == length)
+            for part in np.array_split(rows, -(-len(rows) * int(length) // 200_000)):
+                at = starts[part][:, None] + np.arange(length)[None, :]
+                filled, converged = impute_stack(series[at], [outside[i] for i in part])
+                out[at], settled[at] = filled, converged[:, None]
+        mine = own[near] == OWN
+        keep = near[mine]
+        keys = batch.column("run_id").take(pa.array(row[keep]))
         yield pa.RecordBatch.from_arrays(
-            [keys, pa.array(slot.astype(np.int32)), pa.array(out, mask=np.isnan(out)), pa.array(n.astype(np.int64)), pa.array(filled)], names=["run_id", "slot_no", "precip", "n_readings", "filled"]
+            [keys, pa.array(slot[keep].astype(np.int32)), pa.array(out[mine], mask=np.isnan(out[mine])), pa.array(n[keep].astype(np.int64)), pa.array(n[keep] == 0), pa.array(settled[mine])],
+            names=["run_id", "slot_no", "precip", "n_readings", "filled", "converged"],
         )
 
 
 def regular_series(runs: DataFrame, readings: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(run_id, slot_no, precip, n_readings, filled)``: every slot of every run.
+    """``(run_id, slot_no, precip, n_readings, filled, converged)``: every slot of every run.
 
     Slot k lies at obs_start + k * accutime up to issuetime; a null accutime is
     the source's. precip is the mean of the slot's latest-received readings of
     each time, or the imputed value where ``filled``; it is null in a run without
-    any reading. A reading counts for the nearest slot (halfway:
+    any reading. ``converged`` is false in a block whose filled values still moved
+    after ROUNDS rounds; blocks of fewer than 4 slots are filled by straight lines. A reading counts for the nearest slot (halfway:
     the later one) if it has a time and a value that isn't NaN; others count
     nowhere. Rows stored twice count once. Runs without usable step or ends have
     no slots. Readings are counted per slot before they are gathered, and long
@@ -103,7 +169,10 @@ def regular_series(runs: DataFrame, readings: DataFrame, sources: DataFrame, blo
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     r = r.select("run_id", micros("obs_start").alias("t0"), micros("issuetime").alias("t1"), F.round(F.coalesce("accutime", "usual") * 60e6).cast("bigint").alias("step"))
     r = r.where("step > 0 and t1 >= t0").withColumn("last", F.expr("(t1 - t0) div step"))
-    spine = r.select("run_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("slot"), F.lit(None).cast("double").alias("sum"), F.lit(0).cast("bigint").alias("n"))
+    # in two steps, so that no row holds all slots of a run
+    spine = r.select("run_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"last div {SPREAD}"))).alias("_many"))
+    spine = spine.select("run_id", "last", (F.col("_many") * SPREAD).alias("_from"), F.least("last", (F.col("_many") + 1) * SPREAD - 1).alias("_to"))
+    spine = spine.select("run_id", "last", F.explode(F.sequence("_from", "_to")).alias("slot"), F.lit(None).cast("double").alias("sum"), F.lit(0).cast("bigint").alias("n"))
     o = require(readings, "reading_id", "run_id", "obs_timestamp", "received_at", "precip").where("obs_timestamp is not null and precip is not null and not isnan(precip)")
     o = o.select("run_id", micros("obs_timestamp").alias("ts"), "received_at", "reading_id", "precip")
     o = o.join(r.select("run_id", "t0", "step", "last"), "run_id").withColumn("slot", F.expr("floor((2 * (ts - t0) + step) / (2 * step))")).where("slot between 0 and last")
@@ -136,4 +205,4 @@ def regular_series(runs: DataFrame, readings: DataFrame, sources: DataFrame, blo
     cells = cells.unionAll(ends)
     grouped = cells.groupBy("run_id", "block").agg(F.collect_list("cell").alias("slots"))
     kind = runs.schema["run_id"].dataType.simpleString()
-    return grouped.select("run_id", "slots").mapInArrow(_fill, f"run_id {kind}, slot_no int, precip double, n_readings bigint, filled boolean")
+    return grouped.select("run_id", "slots").mapInArrow(_fill, f"run_id {kind}, slot_no int, precip double, n_readings bigint, filled boolean, converged boolean")
