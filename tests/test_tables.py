@@ -81,6 +81,14 @@ def test_imputation_recovers_a_wave():
     y[[20, 50, 51, 52, 53, 120]] = np.nan
     assert np.abs(regular_grid.impute(y) - x).max() < 0.05
     assert np.isnan(regular_grid.impute(np.full(5, np.nan))).all()
+    rng = np.random.RandomState(2)
+    walks = np.abs(np.cumsum(rng.normal(0, 0.3, (60, 40)), 1))
+    holes = np.where(rng.random_sample(walks.shape) < 0.2, np.nan, walks)
+    got, converged = regular_grid.impute_stack(holes)
+    off = lambda x: np.sqrt(((x - walks)[np.isnan(holes)] ** 2).mean())
+    straight = np.stack([regular_grid._start(h, {}) for h in holes])
+    assert off(got) < 1.3 * off(straight) < off(np.nanmean(holes, 1, keepdims=True)) / 2 and converged.mean() > 0.5
+    assert np.array_equal(got[7], regular_grid.impute(holes[7]), equal_nan=True)  # each as if alone
     assert regular_grid.impute(np.array([1.0, np.nan, 3.0])).tolist() == [1.0, 2.0, 3.0]
 
 
@@ -215,6 +223,39 @@ def test_faults_of_edges(spark):
     assert got == {1: None, 3: "impossible"}
 
 
+@pytest.mark.parametrize("share", [0.2, 1 / 3, 0.5])
+def test_every_stuck_reading_is_found(spark, share):
+    rng = np.random.RandomState(11)
+    rows, truth = [], {}
+    for s in range(100):
+        v = rng.gamma(0.5, 4.0, 40) + 0.1
+        for k in range(int(4 * share * 100)):
+            if k % 100 == s:  # stretches of ten, spread over the series
+                at = 10 * (k // 100)
+                v[at : at + 10] = v[at] + 50 * (k // 100)
+                truth |= {40 * s + t: "stuck" for t in range(at, at + 10)}
+        rows += [(40 * s + t, "a", None, 0, t, s, 0, minutes(t), float(v[t]), 0.0, "x") for t in range(40)]
+    assert len(truth) == int(4 * share * 100) * 10
+    got = anomalies.score_readings(spark.createDataFrame(rows, CELLS)).where("fault = 'stuck'").collect()
+    assert {r.reading_id: r.fault for r in got} == truth
+
+
+def test_many_sources_go_by_shuffle(spark, monkeypatch):
+    rows, truth = cell_rows(8)
+    rows = [(r[0], f"{r[1]}{r[5] % 3}", *r[2:]) for r in rows]
+    cells = spark.createDataFrame(rows, CELLS)
+    key = lambda r: (r.reading_id, r.source, r.fault, None if r.score is None else round(r.score, 9))
+    few = sorted(map(key, anomalies.score_readings(cells).collect()))
+    monkeypatch.setattr(anomalies, "SENT", 0)
+    assert sorted(map(key, anomalies.score_readings(cells).collect())) == few
+
+
+def test_readings_without_series(spark):
+    rows = [(k, None if k % 2 else "a", None, 0, None if k % 3 == 0 else k, 0, None, T0, 5.0, 0.0, "x") for k in range(40)]
+    got = anomalies.score_readings(spark.createDataFrame(rows, CELLS)).collect()
+    assert len(got) == 40 and not [r for r in got if r.fault]
+
+
 def test_faults_of_a_long_stuck_source(spark):
     rng = np.random.RandomState(3)
     rows, truth = [], {}
