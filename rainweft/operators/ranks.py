@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 
 def match_cdf(first: DataFrame, target: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
-    """Gives ``first`` the distribution of ``target`` (same number of cells per raster) by rank.
+    """Gives ``first`` the distribution of ``target`` by rank.
+
+    Missing values and rasters of unequal size raise when the result is computed,
+    as a rank has no meaning there; a raster that only one side has gives no rows.
 
     Cells at the minimum of ``first`` get the minimum of ``target``. If fewer
     cells are wet in ``first``, the weakest wet values of the target go unused;
@@ -22,7 +25,10 @@ def match_cdf(first: DataFrame, target: DataFrame, keys: Sequence[str] = ("t",))
     w = Window.partitionBy(*keys)
     a = first.withColumn("least", F.min("v").over(w)).withColumn("rank", F.row_number().over(w.orderBy("v", "y", "x")))
     b = target.select(*keys, F.col("v").alias("tv"), F.row_number().over(w.orderBy("v", "y", "x")).alias("rank"), F.min("v").over(w).alias("tleast"))
-    j = a.join(b, [*keys, "rank"])
+    sizes = first.groupBy(*keys).agg(F.count("*").alias("_n"), F.count("v").alias("_there")).join(target.groupBy(*keys).agg(F.count("*").alias("_tn"), F.count("v").alias("_tthere")), list(keys))
+    wrong = F.raise_error(F.lit("rasters with missing values or of unequal size can't be matched by rank"))
+    sizes = sizes.select(*keys, F.when((F.col("_n") == F.col("_there")) & (F.col("_tn") == F.col("_tthere")) & (F.col("_n") == F.col("_tn")), F.lit(True)).otherwise(wrong.cast("boolean")).alias("_ok"))
+    j = a.join(sizes, list(keys)).where("_ok").join(b, [*keys, "rank"])
     return j.select(*keys, "y", "x", F.when(F.col("v") <= F.col("least"), F.col("tleast")).otherwise(F.col("tv")).alias("v"))
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def _sum_if(c: Column) -> Column:
 
 
 def merge_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """States of several batches, unioned, added up per key; only for states of sums."""
+    """States of several batches, unioned, added up per key; for all states of sums (``merge_moments`` is for moments)."""
     sums = [c for c in states.columns if c not in keys]
     return states.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
@@ -70,18 +72,29 @@ def conditioned(pairs: DataFrame, conditioning: str | None = None, thr: float =
 
 
 def moment_state(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Sums over the pairs of which both values are there; they add up over batches."""
+    """Number, means and central moments of the pairs of which both values are there; see ``merge_moments``."""
     p, o = F.col("p"), F.col("o")
     both = pairs.where(p.isNotNull() & o.isNotNull())
-    s = {"n": F.count("*"), "sp": F.sum(p), "so": F.sum(o), "spp": F.sum(p * p), "soo": F.sum(o * o), "spo": F.sum(p * o), "sae": F.sum(F.abs(p - o)), "sss": F.sum((p - o) * (p - o)), "spl": F.sum((p + o) * (p + o))}
+    n = F.count("*")
+    s = {"n": n, "mp": F.avg(p), "mo": F.avg(o), "cpp": F.var_pop(p) * n, "coo": F.var_pop(o) * n, "cpo": F.covar_pop(p, o) * n, "sae": F.sum(F.abs(p - o)), "sss": F.sum((p - o) * (p - o)), "spl": F.sum((p + o) * (p + o))}
     return both.groupBy(*keys).agg(*[c.alias(k) for k, c in s.items()])
 
 
+def merge_moments(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Moment states of several batches, unioned, to one per key; central moments are moved to the common mean, so no digits are lost."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))  # one row per batch and key
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w)
+    s = states.where("n > 0").withColumn("gp", mean("mp")).withColumn("go", mean("mo"))
+    dp, do, n = F.col("mp") - F.col("gp"), F.col("mo") - F.col("go"), F.col("n")
+    moved = {"cpp": F.col("cpp") + n * dp * dp, "coo": F.col("coo") + n * do * do, "cpo": F.col("cpo") + n * dp * do}
+    return s.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("gp").alias("mp"), F.max("go").alias("mo"), *[F.sum(c).alias(k) for k, c in moved.items()], *[F.sum(c).alias(c) for c in ("sae", "sss", "spl")])
+
+
 def continuous_scores(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """ME MAE MSE NMSE RMSE corr_p beta1 beta2 RV DRMSE."""
     n = F.col("n")
-    mp, mo = F.col("sp") / n, F.col("so") / n
-    vp, vo, cov = F.col("spp") / n - mp * mp, F.col("soo") / n - mo * mo, F.col("spo") / n - mp * mo
+    mp, mo = F.col("mp"), F.col("mo")
+    vp, vo, cov = F.col("cpp") / n, F.col("coo") / n, F.col("cpo") / n
     mse, me = F.col("sss") / n, mp - mo
     scores = {
         "me": me, "mae": F.col("sae") / n, "mse": mse, "nmse": ratio(mse, F.col("spl") / n), "rmse": F.sqrt(mse), "corr_p": ratio(cov, F.sqrt(vp) * F.sqrt(vo)),
@@ -156,47 +169,47 @@ def probability_pairs(ens: DataFrame, obs: DataFrame, thr: float) -> DataFrame:
     return pf.join(obs.select("t", "y", "x", F.col("v").alias("o")), ["t", "y", "x"]).where("o is not null")
 
 
-def reliability_state(pairs: DataFrame, thr: float, n_bins: int = 10) -> DataFrame:
+def reliability_state(pairs: DataFrame, thr: float, n_bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Per probability bin: number of pairs, of events, and the sum of probabilities. Bins are closed above."""
     width = (1.0 + 2e-6) / n_bins
     b = F.greatest(F.ceil((F.col("pf") + 1e-6) / width) - 1, F.lit(0)).cast("int")
-    return pairs.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), _sum_if(F.col("o") >= thr).alias("events"), F.sum("pf").alias("sp"))
+    return pairs.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), _sum_if(F.col("o") >= thr).alias("events"), F.sum("pf").alias("sp"))
 
 
-def reliability(state: DataFrame, min_count: int = 10) -> DataFrame:
+def reliability(state: DataFrame, min_count: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Observed frequency and mean probability of the bins with enough pairs in all batches together."""
-    return state.where(F.col("n") >= min_count).select("bin", "n", (F.col("events") / F.col("n")).alias("obs_freq"), (F.col("sp") / F.col("n")).alias("mean_prob"))
+    return state.where(F.col("n") >= min_count).select(*keys, "bin", "n", (F.col("events") / F.col("n")).alias("obs_freq"), (F.col("sp") / F.col("n")).alias("mean_prob"))
 
 
-def roc_state(pairs: DataFrame, thr: float, n_thresholds: int = 10) -> DataFrame:
+def roc_state(pairs: DataFrame, thr: float, n_thresholds: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Contingency counts for evenly spaced probability thresholds, the thresholds exploded map-side."""
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_thresholds - 1)), lambda k: F.struct(k.alias("k"), (k / (n_thresholds - 1.0)).alias("thr"))))
     # counts per probability first: there are few, and the explosion then costs nothing
-    few = pairs.groupBy("pf", (F.col("o") >= thr).alias("event")).agg(F.count("*").alias("c"))
-    e = few.select("pf", "event", "c", grid.alias("g")).select("event", "c", F.col("g.k").alias("k"), F.col("g.thr").alias("pthr"), (F.col("pf") >= F.col("g.thr")).alias("yes"))
+    few = pairs.groupBy(*keys, "pf", (F.col("o") >= thr).alias("event")).agg(F.count("*").alias("c"))
+    e = few.select(*keys, "pf", "event", "c", grid.alias("g")).select(*keys, "event", "c", F.col("g.k").alias("k"), F.col("g.thr").alias("pthr"), (F.col("pf") >= F.col("g.thr")).alias("yes"))
     s = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
-    return e.groupBy("k", "pthr").agg(s(F.col("yes") & F.col("event")).alias("h"), s(~F.col("yes") & F.col("event")).alias("m"), s(F.col("yes") & ~F.col("event")).alias("f"), s(~F.col("yes") & ~F.col("event")).alias("r"))
+    return e.groupBy(*keys, "k", "pthr").agg(s(F.col("yes") & F.col("event")).alias("h"), s(~F.col("yes") & F.col("event")).alias("m"), s(F.col("yes") & ~F.col("event")).alias("f"), s(~F.col("yes") & ~F.col("event")).alias("r"))
 
 
-def roc_curve(state: DataFrame) -> DataFrame:
+def roc_curve(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """POD and POFD per threshold."""
-    return state.select("k", "pthr", ratio(F.col("h"), F.col("h") + F.col("m")).alias("pod"), ratio(F.col("f"), F.col("f") + F.col("r")).alias("pofd"))
+    return state.select(*keys, "k", "pthr", ratio(F.col("h"), F.col("h") + F.col("m")).alias("pod"), ratio(F.col("f"), F.col("f") + F.col("r")).alias("pofd"))
 
 
-def roc_area(curve: DataFrame) -> DataFrame:
+def roc_area(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the curve, closed at (0,0) and (1,1); the curve has a few points only."""
-    w = Window.partitionBy(F.lit(1)).orderBy("k")
-    c = curve.select("k", "pod", "pofd", F.lead("pod", 1, 0.0).over(w).alias("pod1"), F.lead("pofd", 1, 0.0).over(w).alias("pofd1"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("k")
+    c = curve.select(*keys, "k", "pod", "pofd", F.lead("pod", 1, 0.0).over(w).alias("pod1"), F.lead("pofd", 1, 0.0).over(w).alias("pofd1"))
     area = F.sum((F.col("pofd") - F.col("pofd1")) * (F.col("pod") + F.col("pod1")) / 2)
     start = F.max(F.when(F.col("k") == 0, (1 - F.col("pofd")) * (1 + F.col("pod")) / 2))
-    return c.agg((area + start).alias("area"))
+    return c.groupBy(*keys).agg((area + start).alias("area"))
 
 
 # -- ensembles ------------------------------------------------------------------------------------
 
 
-def rank_histogram(cells: DataFrame, x_min: float | None = None) -> DataFrame:
-    """``(rank, n)``: members below the observation; ties take the lowest rank.
+def rank_histogram(cells: DataFrame, x_min: float | None = None, keys: Sequence[str] = (), normalise: bool = False) -> DataFrame:
+    """``(keys, rank, n[, share])``: members below the observation; ties take the lowest rank.
 
     With ``x_min``, cells where observation and all members lie below it are left
     out and values below it are set just under it.
@@ -205,9 +218,11 @@ def rank_histogram(cells: DataFrame, x_min: float | None = None) -> DataFrame:
     if x_min is not None:
         c = c.where((F.col("o") >= x_min) | (F.element_at("f", -1) >= x_min))
         low = lambda v: F.when(v < x_min, F.lit(x_min - 1.0)).otherwise(v)
-        c = c.select(F.transform("f", low).alias("f"), low(F.col("o")).alias("o"))
+        c = c.select(*keys, F.transform("f", low).alias("f"), low(F.col("o")).alias("o"))
     rank = F.size(F.filter("f", lambda v: v < F.col("o")))
-    return c.groupBy(rank.alias("rank")).agg(F.count("*").alias("n"))
+    h = c.groupBy(*keys, rank.alias("rank")).agg(F.count("*").alias("n"))
+    all_ = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))  # members + 1 rows a key
+    return h.withColumn("share", F.col("n") / F.sum("n").over(all_)) if normalise else h
 
 
 def ensemble_skill(ens: DataFrame, obs: DataFrame, thr: float, score: str) -> DataFrame:
@@ -240,34 +255,71 @@ def fss_scores(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return state.select(*keys, (1 - ratio(a - 2 * F.col("spo"), a)).alias("fss"))
 
 
-def binary_mse_state(pairs: DataFrame, thr: float, levels: int) -> DataFrame:
+def binary_mse_state(pairs: DataFrame, thr: float, levels: int, keys: Sequence[str] = ()) -> DataFrame:
     """Haar energies of the difference of the two event fields per scale (2^k cells), and the base rate.
 
     Scale k holds what averaging over 2^k cells keeps and over 2^(k+1) loses; the last is the mean field.
     """
     e = lambda c: F.when(F.coalesce(F.col(c) >= thr, F.lit(False)), 1.0).otherwise(0.0)
-    z = pairs.select("t", "y", "x", (e("p") - e("o")).alias("z"), e("o").alias("e"))
-    cols = [F.avg("z").over(Window.partitionBy("t", F.shiftright("y", k), F.shiftright("x", k))).alias(f"b{k}") for k in range(levels + 1)]
-    b = z.select("e", *cols)
+    more = [k for k in keys if k != "t"]
+    z = pairs.select(*more, "t", "y", "x", (e("p") - e("o")).alias("z"), e("o").alias("e"))
+    cols = [F.avg("z").over(Window.partitionBy(*more, "t", F.shiftright("y", k), F.shiftright("x", k))).alias(f"b{k}") for k in range(levels + 1)]
+    b = z.select(*keys, "e", *cols)
     scales = [F.avg(F.pow(F.col(f"b{k}") - F.col(f"b{k + 1}"), F.lit(2.0))).alias(f"m{k}") for k in range(levels)]
-    row = b.agg(F.avg("e").alias("eps"), *scales, F.avg(F.pow(F.col(f"b{levels}"), F.lit(2.0))).alias(f"m{levels}"))
+    row = b.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("e").alias("eps"), *scales, F.avg(F.pow(F.col(f"b{levels}"), F.lit(2.0))).alias(f"m{levels}"))
     packed = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"m{k}").alias("mse")) for k in range(levels + 1)]))
-    return row.select("eps", packed.alias("s")).select("s.level", "s.mse", "eps")
+    return row.select(*keys, "n", "eps", packed.alias("s")).select(*keys, "s.level", "s.mse", "eps", "n")
+
+
+def binary_mse_merge(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """States of several batches, unioned, to one: energies and base rates weighted by their cells."""
+    n = F.sum("n")
+    return states.groupBy(*keys, "level").agg((F.sum(F.col("mse") * F.col("n")) / n).alias("mse"), (F.sum(F.col("eps") * F.col("n")) / n).alias("eps"), n.alias("n"))
 
 
-def binary_mse_scores(state: DataFrame, levels: int) -> DataFrame:
+def binary_mse_scores(state: DataFrame, levels: int, keys: Sequence[str] = ()) -> DataFrame:
     base = 2 * F.col("eps") * (1 - F.col("eps")) / (levels + 1)
-    return state.select("level", (1 - ratio(F.col("mse"), base)).alias("skill"))
+    return state.select(*keys, "level", (1 - ratio(F.col("mse"), base)).alias("skill"))
+
+
+def intensity_scale_state(pairs: DataFrame, thrs: Sequence[float], scales: Sequence[int], frame: Sequence[str] = ("t",)) -> DataFrame:
+    """``(thr, scale, spp, spo, soo)`` for every threshold and scale in one pass over the pairs.
+
+    Event counts are cumulated along both axes once per threshold, and every
+    scale reads its boxes as differences of four corners of that summed table.
+    States of batches (and the counts behind them) add up by ``merge_states``.
+    """
+    yes = lambda c: F.when(F.coalesce(F.col(c) >= F.col("thr"), F.lit(False)), 1.0).otherwise(0.0)
+    each = pairs.select(*frame, "y", "x", "p", "o", F.explode(F.array(*[F.lit(float(t)) for t in thrs])).alias("thr"))
+    packed = each.select(*frame, "thr", F.struct("y", "x", yes("p").alias("p"), yes("o").alias("o")).alias("c")).groupBy(*frame, "thr").agg(F.collect_list("c").alias("cells"))
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for i in range(batch.num_rows):
+                c = batch.column("cells")[i].values
+                y, x, p, o = (c.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                tables = []
+                for v in (p, o):
+                    raster = np.zeros((y.max() + 1, x.max() + 1))
+                    raster[y, x] = v
+                    tables.append(np.pad(raster.cumsum(0).cumsum(1), ((1, 0), (1, 0))))
+                ny, nx = (n - 1 for n in tables[0].shape)
+                for scale in scales:
+                    lo, hi = scale // 2, scale - 1 - scale // 2
+                    a, b = np.maximum(np.arange(ny) - lo, 0), np.minimum(np.arange(ny) + hi, ny - 1) + 1
+                    c0, d0 = np.maximum(np.arange(nx) - lo, 0), np.minimum(np.arange(nx) + hi, nx - 1) + 1
+                    f, g = ((t[b][:, d0] - t[a][:, d0] - t[b][:, c0] + t[a][:, c0]) / scale**2 for t in tables)
+                    for col, v in zip(out, (batch.column("thr")[i].as_py(), scale, (f * f).sum(), (f * g).sum(), (g * g).sum())):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.float64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.float64()) for c in out[2:]]], names=["thr", "scale", "spp", "spo", "soo"])
+
+    return merge_states(packed.mapInArrow(run, "thr double, scale int, spp double, spo double, soo double"), ["thr", "scale"])
 
 
 def intensity_scale(pairs: DataFrame, thrs: Sequence[float], scales: Sequence[int]) -> DataFrame:
     """``(thr, scale, fss)`` over a table of thresholds and scales."""
-    out = None
-    for thr in thrs:
-        for scale in scales:
-            s = fss_scores(fss_state(pairs, thr, scale)).select(F.lit(float(thr)).alias("thr"), F.lit(int(scale)).alias("scale"), "fss")
-            out = s if out is None else out.unionAll(s)
-    return out
+    return fss_scores(intensity_scale_state(pairs, thrs, scales), ["thr", "scale"])
 
 
 def sal_amplitude(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
