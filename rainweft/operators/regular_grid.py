@@ -20,10 +20,10 @@ from rainweft.workspace import require
 BLOCK = 1024  # slots imputed together
 SPREAD = 4096  # slots of a run made by one row
 EDGE = 24  # slots that a block sees of each neighbour; a last block shorter than that joins the one before
-ROUNDS, TOLERANCE = 200, 1e-4
+ROUNDS, TOLERANCE = 100, 1e-3
 EMBEDDINGS = ((4, 2), (12, 3), (24, 3))  # width and singular vectors kept; the width is half the series at most
 CLEARLY = 0.5  # of the first embedding's squared error another must stay below, as few readings tell little
-ASKED, TRIED = 5, 20  # each fifth reading is held out, in rounds enough to tell the embeddings apart
+ASKED, TRIED = 5, 6  # each fifth reading is held out, in rounds enough to tell the embeddings apart
 
 
 def _start(values: np.ndarray, outside: dict[int, float]) -> np.ndarray | None:

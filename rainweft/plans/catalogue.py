@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("tables", "scores", "rasters", "forecasts")
+MODULES: tuple[str, ...] = ("tables", "scores", "rasters", "models", "forecasts")
 
 
 def queries() -> dict[str, Callable]:
