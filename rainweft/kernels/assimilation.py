@@ -57,13 +57,12 @@ def blend_steps(frames: np.ndarray, models: np.ndarray, velocity: np.ndarray, le
     return np.stack(out)
 
 
-def principal(ens: np.ndarray, mask: np.ndarray | None = None, least: float = 0.0) -> dict:
+def principal(ens: np.ndarray, mask: np.ndarray | None = None) -> dict:
     """Components of an ensemble ``(member, y, x)`` over the cells of ``mask``."""
     x = ens.reshape(len(ens), -1)
     keep = np.ones(x.shape[1], bool) if mask is None else mask.ravel()
     mean = x[:, keep].mean(0)
     _, s, vt = np.linalg.svd(x[:, keep] - mean, full_matrices=False)
-    del least
     return {"mean": mean, "axes": vt, "keep": keep, "explained": s**2 / max((s**2).sum(), 1e-12)}
 
 

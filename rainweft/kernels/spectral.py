@@ -161,24 +161,156 @@ def local_noise(filters: list, shape: tuple[int, int], rng: np.random.RandomStat
 
 
 def smooth(field: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian mean with mirrored edges, separable."""
+    """Gaussian mean with mirrored edges, separable; one shifted sum per tap."""
     if sigma <= 0:
         return field
     r = int(4 * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
     for axis in (0, 1):
+        n = field.shape[axis]
         pad = [(r, r) if a == axis else (0, 0) for a in (0, 1)]
-        p = np.pad(field, pad, mode="symmetric" if r <= field.shape[axis] else "reflect" if r < field.shape[axis] else "edge")
-        field = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, p)
+        p = np.pad(field, pad, mode="symmetric" if r <= n else "reflect" if r < n else "edge")
+        out = np.zeros(field.shape)
+        for i, w in enumerate(k):
+            out += w * (p[i : i + n] if axis == 0 else p[:, i : i + n])
+        field = out
     return field
 
 
-def rainfarm(coarse: np.ndarray, factor: int, alpha: float | None = None, rng: np.random.RandomState | None = None, threshold: float | None = None) -> tuple[np.ndarray, float]:
-    """Finer field whose block means are the coarse values; and the spectral slope used."""
+def uniform_weights(shape: tuple[int, int], levels: int = 1) -> np.ndarray:
+    """One band that holds everything."""
+    return np.ones((1, shape[0], shape[1] // 2 + 1))
+
+
+def nested_filters(field: np.ndarray, depth: int = 3, least_wet: float = 0.1, thr: float | None = None) -> np.ndarray:
+    """Amplitude filter for every cell block of a quadtree: each level halves the windows.
+
+    A window with enough rain replaces its parent's filter for the wavelengths it
+    can hold; others keep the parent's. Returns (2^depth, 2^depth, ky, kx).
+    """
+    thr = field.min() if thr is None else thr
+    whole = field_filter(field)
+    out = np.broadcast_to(whole, (1, 1, *whole.shape)).copy()
+    r = radius(field.shape)[:, : field.shape[1] // 2 + 1]
+    for level in range(1, depth + 1):
+        n = 2**level
+        out = out.repeat(2, 0).repeat(2, 1)
+        ys, xs = (np.linspace(0, m, n + 1).astype(int) for m in field.shape)
+        fits = r >= n  # waves that fit into the window
+        for i in range(n):
+            for j in range(n):
+                part = field[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+                if part.size and (part > thr).mean() > least_wet:
+                    mask = np.zeros(field.shape)
+                    mask[ys[i] : ys[i + 1], xs[j] : xs[j + 1]] = taper(part.shape) + 1e-6
+                    own = field_filter((field - field.min()) * mask, False)
+                    size = out[i, j][fits].mean() / (own[fits].mean() or 1.0)
+                    out[i, j] = np.where(fits, own * size, out[i, j])
+    return out
+
+
+def nested_noise(filters: np.ndarray, shape: tuple[int, int], rng: np.random.RandomState) -> np.ndarray:
+    """One white field through the filter of each block, merged block by block."""
+    white = np.fft.rfft2(rng.standard_normal(shape))
+    n, m = filters.shape[:2]
+    ys, xs = np.linspace(0, shape[0], n + 1).astype(int), np.linspace(0, shape[1], m + 1).astype(int)
+    out = np.empty(shape)
+    for i in range(n):
+        for j in range(m):
+            f = np.fft.irfft2(white * filters[i, j], shape)
+            f = (f - f.mean()) / (f.std() or 1.0)
+            out[ys[i] : ys[i + 1], xs[j] : xs[j + 1]] = f[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+    return (out - out.mean()) / (out.std() or 1.0)
+
+
+def noise_adjustments(field: np.ndarray, threshold: float, least: float, weights: np.ndarray, n: int = 20, seed: int = 1, conditional: bool = True) -> np.ndarray:
+    """Per level, by how much the noise must be scaled so that rain made of it varies like the field.
+
+    Noise takes the mean and deviation of the wet values and is cut at the
+    threshold; the ratio of the level deviations of field and noise is averaged
+    over ``n`` seeded fields. ``conditional``: deviations over wet cells only.
+    """
+    wet = field >= threshold
+    if not wet.any():
+        return np.ones(len(weights))
+    mu, sd = field[wet].mean(), field[wet].std()
+    texture = field_filter(field)
+    own = decompose(np.where(wet, field, least), weights, normalise=False, mask=wet if conditional else None)[2]
+    ratios = []
+    for k in range(n):
+        f = noise(texture, field.shape, np.random.RandomState(seed + k)) * sd + mu
+        f = np.where(f < threshold, least, f)
+        inside = f >= threshold
+        if not inside.any():
+            continue
+        got = decompose(f, weights, normalise=False, mask=inside if conditional else None)[2]
+        ratios.append(own / np.where(got > 0, got, np.inf))
+    return np.mean(ratios, 0) if ratios else np.ones(len(weights))
+
+
+def gaussianised(field: np.ndarray, rng: np.random.RandomState) -> np.ndarray:
+    """Standard normal draws in the order of the field."""
+    out = np.empty(field.size)
+    out[np.argsort(field.ravel(), kind="stable")] = np.sort(rng.standard_normal(field.size))
+    return out.reshape(field.shape)
+
+
+def disc_kernel(factor: int, kind: str = "tophat") -> np.ndarray:
+    """Smoothing kernel about as wide as a coarse cell: a disc of equal area, or a Gaussian of that radius."""
+    r = max(1, int(round(factor / np.sqrt(np.pi))))
+    y, x = np.mgrid[-r : r + 1, -r : r + 1]
+    if kind == "tophat":
+        k = (y * y + x * x <= r * r).astype(float)
+    elif kind == "gaussian":
+        k = np.exp(-(y * y + x * x) / (2.0 * (r / 2) ** 2)) * (y * y + x * x <= r * r)
+    else:
+        raise ValueError(kind)
+    return k / k.sum()
+
+
+def balanced_average(field: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Mean under a kernel over the cells that are there; missing cells stay missing."""
+    ry, rx = kernel.shape[0] // 2, kernel.shape[1] // 2
+    there = np.isfinite(field).astype(float)
+    total, weight = np.zeros(field.shape), np.zeros(field.shape)
+    p, q = (np.pad(v, ((ry, ry), (rx, rx))) for v in (np.where(there > 0, field, 0.0), there))
+    for (dy, dx), w in np.ndenumerate(kernel):
+        if w:
+            total += w * p[dy : dy + field.shape[0], dx : dx + field.shape[1]]
+            weight += w * q[dy : dy + field.shape[0], dx : dx + field.shape[1]]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(there > 0, total / weight, np.nan)
+
+
+def fused(low: np.ndarray, high: np.ndarray, factor: int) -> np.ndarray:
+    """A fine field with the large waves of a coarse one and the small waves of noise.
+
+    Waves that the coarse grid resolves take its phase and amplitude; beyond, the
+    noise's spectrum continues at the level where the coarse one ends.
+    """
+    shape = high.shape
+    coarse = np.kron(low, np.ones((factor, factor)))
+    a, b = np.fft.rfft2(coarse - coarse.mean()), np.fft.rfft2(high - high.mean())
+    r = radius(shape)[:, : shape[1] // 2 + 1]
+    limit = min(low.shape) / 2.0
+    ring = (r > 0.7 * limit) & (r <= limit)
+    scale = np.sqrt((np.abs(a[ring]) ** 2).mean() / max((np.abs(b[ring]) ** 2).mean(), 1e-30)) if ring.any() else 1.0
+    return np.fft.irfft2(np.where(r <= limit, a, b * scale), shape)
+
+
+def rainfarm(
+    coarse: np.ndarray, factor: int, alpha: float | None = None, rng: np.random.RandomState | None = None, threshold: float | None = None, kernel: str | None = None, fusion: bool = False
+) -> tuple[np.ndarray, float]:
+    """Finer field whose block means are the coarse values; and the spectral slope used.
+
+    kernel (``tophat``, ``gaussian``): the correction of block means is smoothed,
+    which keeps the means only nearly but leaves no edges. fusion: large waves
+    come from the coarse field, brought to a normal distribution.
+    """
     rng = rng or np.random.RandomState()
     if alpha is None:
-        freq, power = rapsd(coarse)
+        freq, power = rapsd(gaussianised(coarse, rng) if fusion else coarse)
         good = (freq > 0) & (power > 0)
         lx, ly = np.log(freq[good]), np.log(power[good])
         inner = (lx >= lx[0] + (lx[-1] - lx[0]) / 6) & (lx <= lx[-1] - (lx[-1] - lx[0]) / 6)
@@ -189,9 +321,17 @@ def rainfarm(coarse: np.ndarray, factor: int, alpha: float | None = None, rng: n
     k = np.hypot(ky[:, None], kx[None, :])
     k[0, 0] = np.inf
     g = noise(k ** (-alpha / 2), shape, rng)
+    if fusion:
+        g = fused(gaussianised(coarse, rng), g, factor)
+        g = (g - g.mean()) / (g.std() or 1.0)
     fine = np.exp(g)
-    block = fine.reshape(coarse.shape[0], factor, coarse.shape[1], factor).mean((1, 3))
-    fine *= np.kron(coarse / block, np.ones((factor, factor)))
+    if kernel:
+        near = disc_kernel(factor, kernel)
+        want = balanced_average(np.kron(coarse, np.ones((factor, factor))), near)
+        fine *= want / balanced_average(fine, near)
+    else:
+        block = fine.reshape(coarse.shape[0], factor, coarse.shape[1], factor).mean((1, 3))
+        fine *= np.kron(coarse / block, np.ones((factor, factor)))
     if threshold is not None:
         fine[fine < threshold] = 0.0
     return fine, alpha

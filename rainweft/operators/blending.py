@@ -141,3 +141,39 @@ def filter_covariance(ens: DataFrame, inflation: float = 1.0, offset: float = 0.
     a, b = c.select("member", "i", F.col("d").alias("a")), c.select("member", F.col("i").alias("j"), F.col("d").alias("b"))
     n = F.count("*") - 1
     return a.join(b, "member").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / n * inflation).alias("cov")).select("i", "j", (F.col("cov") + F.when(F.col("i") == F.col("j"), offset).otherwise(0.0)).alias("cov"))
+
+
+def blending_ratios(correlations: DataFrame) -> DataFrame:
+    """``(level, component, ratio)``: explained over unexplained variance, bounded away from 1."""
+    c = F.least(F.greatest(F.col("skill"), F.lit(1e-5)), F.lit(0.99999))
+    return correlations.select("level", "component", (c * c / (1 - c * c)).alias("ratio"))
+
+
+def wet_enough(nowcast: DataFrame, model: DataFrame, thr: float, least: int) -> DataFrame:
+    """``(t, y, x, both)``: whether both ensembles have ``least`` members from thr up at a cell, for every cell of either."""
+    wet = lambda e, n: e.groupBy("t", "y", "x").agg(F.count_if(F.col("v") >= thr).alias(n))
+    j = wet(nowcast, "a").join(wet(model, "b"), ["t", "y", "x"], "full")
+    return j.select("t", "y", "x", ((F.coalesce("a", F.lit(0)) >= least) & (F.coalesce("b", F.lit(0)) >= least)).alias("both"))
+
+
+def matching_share(background: DataFrame, analysis: DataFrame, observed: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
+    """``(keys, share)``: how far an analysis has moved from the background towards the observations, between 0 and 1.
+
+    The three hold ``(keys, member, i, v)``; shares of the members are averaged.
+    """
+    on = [*keys, "member", "i"]
+    j = background.select(*on, F.col("v").alias("b")).join(analysis.select(*on, F.col("v").alias("a")), on).join(observed.select(*on, F.col("v").alias("o")), on)
+    m = j.groupBy(*keys, "member").agg(F.sum(F.col("a") - F.col("b")).alias("da"), F.sum(F.col("o") - F.col("b")).alias("do"))
+    share = F.when(F.col("do") != 0, F.least(F.greatest(F.col("da") / F.col("do"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return m.groupBy(*keys).agg(F.avg(share).alias("share"))
+
+
+def binned_leads(leads: DataFrame) -> DataFrame:
+    """``(bin, leads)``: lead times gathered by the whole step that they follow, ascending."""
+    return leads.groupBy(F.floor("lead").cast("int").alias("bin")).agg(F.array_sort(F.collect_list("lead")).alias("leads"))
+
+
+def stacked_levels(levels: DataFrame, keys: Sequence[str] = ("case",)) -> DataFrame:
+    """``(keys, level, stack)`` of ``(keys, t, level, data)``: the frames of each level side by side, oldest first."""
+    p = F.array_sort(F.collect_list(F.struct("t", "data")))
+    return levels.groupBy(*keys, "level").agg(F.transform(p, lambda s: s["data"]).alias("stack"))

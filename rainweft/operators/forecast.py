@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainweft.kernels import assimilation, features, motion, nowcast, spectral
+from rainweft.kernels import assimilation, features, masks, motion, nowcast, spectral
 
 
 def frame_stacks(tensors: DataFrame, n: int, keys: Sequence[str] = ("case",)) -> DataFrame:
@@ -48,6 +48,13 @@ def _emit(batch: pa.RecordBatch, rows: list[int], keys: Sequence[str], extra: di
     return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], *[pa.array(v) if not isinstance(v, pa.Array) else v for v in extra.values()]], names=[*keys, *extra])
 
 
+def _lists(rasters: np.ndarray) -> pa.Array:
+    """One list per raster; cells that aren't finite are null."""
+    flat = np.asarray(rasters, float).reshape(len(rasters), -1)
+    ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
+    return pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), mask=~np.isfinite(flat.ravel())))
+
+
 def _types(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -81,8 +88,7 @@ def nowcasts(stacks: DataFrame, flows: DataFrame, leads: Sequence[float], method
                 velocity = np.stack([np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False), float).reshape(s.shape[1:]) for c in "uv"])
                 member = b.column("member")[i].as_py()
                 got = nowcast.METHODS[method](s, velocity, list(leads), threshold=threshold, seed=seeds[member], **how)
-                data = pa.array([np.ma.masked_invalid(g.ravel()).tolist() for g in got], pa.list_(pa.float64()))
-                yield _emit(b, [i] * len(leads), [*keys, "member", "ny", "nx"], {"lead": [float(x) for x in leads], "data": data})
+                yield _emit(b, [i] * len(leads), [*keys, "member", "ny", "nx"], {"lead": [float(x) for x in leads], "data": _lists(got)})
 
     return rows.mapInArrow(run, f"{_types(stacks, keys)}, member int, ny int, nx int, lead double, data array<double>")
 
@@ -139,13 +145,49 @@ def point_features(tensors: DataFrame, method: str = "shitomasi", keys: Sequence
     return tensors.select(*keys, "ny", "nx", "data").mapInArrow(run, f"{_types(tensors, keys)}, no int, x double, y double")
 
 
-def downscaled(tensors: DataFrame, factor: int, seed: int = 1, alpha: float | None = None, keys: Sequence[str] = ("case", "t")) -> DataFrame:
+def per_raster(tensors: DataFrame, kernel, keys: Sequence[str] = ("case", "t")) -> DataFrame:
+    """``(keys..., ny, nx, data)``: each raster through a kernel from array to array of the same shape; missing cells are NaN there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                got = [kernel(s[0]) for s in _rasters(b, "data")]
+                yield _emit(b, list(range(b.num_rows)), [*keys, "ny", "nx"], {"data": pa.concat_arrays([_lists(np.asarray(g)[None]) for g in got])})
+
+    return tensors.select(*keys, "ny", "nx", "data").mapInArrow(run, f"{_types(tensors, keys)}, ny int, nx int, data array<double>")
+
+
+def mask_windows(tensors: DataFrame, reach: float, threshold: float = 0.5, keys: Sequence[str] = ("case", "t")) -> DataFrame:
+    """Tapers of the masks ``data >= threshold``: 0 outside, 1 from ``reach`` cells inside."""
+    return per_raster(tensors, lambda f: masks.mask_window(np.nan_to_num(f, nan=-np.inf) >= threshold, reach), keys)
+
+
+def soft_masks(tensors: DataFrame, threshold: float, padding: int, keys: Sequence[str] = ("case", "t"), **how) -> DataFrame:
+    """Masks ``data >= threshold`` that fade outward over ``padding`` cells."""
+    return per_raster(tensors, lambda f: masks.soft_mask(np.nan_to_num(f, nan=-np.inf) >= threshold, padding, **how), keys)
+
+
+def noise_adjustments(tensors: DataFrame, threshold: float, levels: int = 6, n: int = 20, seed: int = 1, keys: Sequence[str] = ("case", "t")) -> DataFrame:
+    """``(keys..., level, factor)``: by how much noise must be scaled per level; see the kernel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(_rasters(b, "data")):
+                f = s[0]
+                least = float(np.nanmin(f)) if np.isfinite(f).any() else 0.0
+                factors = spectral.noise_adjustments(np.nan_to_num(f, nan=least), threshold, least, spectral.band_weights(f.shape, levels), n, seed)
+                yield _emit(b, [i] * levels, keys, {"level": pa.array(range(levels), pa.int32()), "factor": factors.tolist()})
+
+    return tensors.select(*keys, "ny", "nx", "data").mapInArrow(run, f"{_types(tensors, keys)}, level int, factor double")
+
+
+def downscaled(tensors: DataFrame, factor: int, seed: int = 1, alpha: float | None = None, keys: Sequence[str] = ("case", "t"), **how) -> DataFrame:
     """``(keys..., ny, nx, alpha, data)`` on a grid ``factor`` times finer whose block means are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, s in enumerate(_rasters(b, "data")):
-                fine, a = spectral.rainfarm(s[0], factor, alpha, np.random.RandomState(seed))
+                fine, a = spectral.rainfarm(s[0], factor, alpha, np.random.RandomState(seed), **how)
                 yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array([i])) for k in keys], pa.array([fine.shape[0]], pa.int32()), pa.array([fine.shape[1]], pa.int32()), pa.array([a]), pa.array([fine.ravel()], pa.list_(pa.float64()))], names=[*keys, "ny", "nx", "alpha", "data"])
 
     return tensors.select(*keys, "ny", "nx", "data").mapInArrow(run, f"{_types(tensors, keys)}, ny int, nx int, alpha double, data array<double>")

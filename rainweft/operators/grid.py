@@ -175,3 +175,42 @@ def read_series(spine: DataFrame, frames: DataFrame) -> DataFrame:
     f = require(frames, "ts", "data", "threshold")
     least = spine.select("ts").join(f, "ts").agg(F.min("threshold"))
     return spine.join(f, "ts", "left").select("k", "ts", "data", least.scalar().alias("threshold"))
+
+
+# Strftime directives as patterns of date_format.
+_STRFTIME = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+
+
+def formatted(ts: Column, pattern: str) -> Column:
+    """A time in a strftime pattern; text between directives stands as it is."""
+    parts, text, i = [], "", 0
+    while i < len(pattern):
+        code = _STRFTIME.get(pattern[i : i + 2])
+        if code:
+            if text:
+                parts.append(F.lit(text))
+            parts.append(F.date_format(ts, code))
+            text, i = "", i + 2
+        else:
+            text, i = text + pattern[i], i + 1
+    return F.concat(*parts, F.lit(text))
+
+
+def expected_paths(spine: DataFrame, root: str, path_pattern: str, file_pattern: str, extension: str) -> DataFrame:
+    """``(k, ts, folder, name)``: where an archive keeps the file of each time; ``name`` may hold ``*`` and ``?``."""
+    folder = F.concat_ws("/", F.lit(root.rstrip("/")), formatted(F.col("ts"), path_pattern)) if path_pattern else F.lit(root.rstrip("/"))
+    return spine.select("k", "ts", folder.alias("folder"), F.concat(formatted(F.col("ts"), file_pattern), F.lit("." + extension)).alias("name"))
+
+
+def found_files(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """``(k, ts, path)``: the listed file of each time, the first by name where a pattern fits several, null where none is there.
+
+    ``files`` has ``path``. Files are joined on their folder, so only those of the
+    asked folders meet their patterns.
+    """
+    f = files.select("path", F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), F.regexp_extract("path", r"[^/]*$", 0).alias("file"))
+    quoted = F.regexp_replace("name", r"([.+^$()\[\]{}|\\])", r"\\$1")
+    like = F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    j = expected.withColumn("pattern", F.concat(F.lit("^"), like, F.lit("$"))).join(f, "folder", "left")
+    fits = F.when(F.expr("file rlike pattern"), F.col("path"))
+    return j.groupBy("k", "ts").agg(F.min(fits).alias("path"))

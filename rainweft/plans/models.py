@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rainweft.operators import blending as B
+from rainweft.operators import forecast as P
+from rainweft.operators import grid as G
+from rainweft.operators import joins as J
+from rainweft.operators import objects as O
 from rainweft.operators import series as A
+from rainweft.operators import tracking as K
 from rainweft.operators import verification as V
-from rainweft.plans.common import ENS_SQL, MODEL_SQL, OBS_SQL, PAIR_SQL, ens, model, obs, pairs, rounded
+from rainweft.operators.ensemble import lagged_ensemble
+from rainweft.plans.common import ENS_SQL, FLOW_SQL, MODEL_SQL, OBS_SQL, PAIR_SQL, N, ens, flow, model, obs, pairs, read, rounded
+from rainweft.plans.forecasts import tensors
 from rainweft.plans.scores import _round6
 
 QUERIES: dict = {}
@@ -119,3 +127,92 @@ def _merged_fss(s, d):
 _EV = lambda c: f"case when {c} >= 40 then 1.0 else 0 end"
 _ROW = lambda c, over: f"sum({c}) over (partition by t, {over[0]} order by {over[1]} range between 2 preceding and 2 following) / 5 {c}"
 add("fss_merged", _merged_fss, f"with {PAIR_SQL}, e as (select t, y, x, {_EV('p')} p, {_EV('o')} o from pair), a as (select t, y, x, {_ROW('p', 'yx')}, {_ROW('o', 'yx')} from e), b as (select {_ROW('p', 'xy')}, {_ROW('o', 'xy')} from a) select ROUND6(1 - sum((p - o) ** 2) / sum(p * p + o * o)) fss from b")
+
+# -- objects and tracks
+
+_FACTOR = 0.8
+_FIELD = lambda c: f"w{c} as (select t, quantile_cont({c}, 0.95) * {_FACTOR} thr from (select *, min({c}) over (partition by t) least from pair) where {c} > least group by t), m{c} as (select pair.t, y, x, {c} v from pair join w{c} using (t) where {c} >= thr)"
+# connected cells: the closure of neighbourhood within the mask
+_REACH = lambda c: f"""r{c} as (select t, y, x, y * 32 + x root from m{c} union select m.t, m.y, m.x, r{c}.root from r{c} join m{c} m on m.t = r{c}.t and abs(m.y - r{c}.y) <= 1 and abs(m.x - r{c}.x) <= 1),
+  l{c} as (select t, y, x, min(root) id from r{c} group by 1, 2, 3),
+  ob_{c} as (select t, id, sum(v) total, max(v) peak, count(*) area, sum(v * y) / sum(v) cy, sum(v * x) / sum(v) cx from l{c} join m{c} using (t, y, x) group by 1, 2)"""
+_SCORE = lambda c: f"""v{c} as (select t, sum(total * total / peak) / sum(total) volume from ob_{c} group by t), c{c} as (select t, sum({c} * y) / sum({c}) my, sum({c} * x) / sum({c}) mx from pair group by t),
+  d{c} as (select t, sum(total * sqrt((cy - my) ** 2 + (cx - mx) ** 2)) / sum(total) distance from ob_{c} join c{c} using (t) group by t)"""
+_SALSQL = f"with recursive {PAIR_SQL}, {', '.join(f(c) for c in 'po' for f in (_FIELD, _REACH, _SCORE))}"
+_OBJ = lambda s, d, c: O.object_cells(pairs(s, d).select("t", "y", "x", F.col(c).alias("v")), factor=_FACTOR)
+add("object_table", lambda s, d: O.object_table(_OBJ(s, d, "o")).drop("id"), f"{_SALSQL} select t, ROUND6(total) total, ROUND6(peak) peak, area, ROUND6(cy) cy, ROUND6(cx) cx from ob_o")
+add("sal_structure", lambda s, d: O.sal_structure(*[O.object_table(_OBJ(s, d, c)) for c in "po"]), f"{_SALSQL} select t, ROUND6((vp.volume - vo.volume) / (0.5 * (vp.volume + vo.volume))) structure from vp full join vo using (t)")
+add("sal", lambda s, d: O.sal(pairs(s, d), N, N, factor=_FACTOR), f"""{_SALSQL}, a as (select t, (avg(p) - avg(o)) / (0.5 * (avg(p) + avg(o))) amplitude from pair group by t)
+  select t, ROUND6((vp.volume - vo.volume) / (0.5 * (vp.volume + vo.volume))) structure, ROUND6(amplitude) amplitude, ROUND6((sqrt((cp.my - co.my) ** 2 + (cp.mx - co.mx) ** 2) + 2 * abs(do_.distance - dp.distance)) / sqrt(2 * 32 * 32)) as location
+  from a join vp using (t) join vo using (t) join cp using (t) join co using (t) join dp using (t) join "do" do_ using (t)""")
+ORACLES = {k: v.replace("do as (", '"do" as (') for k, v in ORACLES.items()}
+add("sal_split", lambda s, d: O.sal(pairs(s, d), N, N, split=True))
+_LABELS = lambda s, d: obs(s, d).where("v > 30").select("t", "y", "x", (F.col("y").cast("int") / 8).cast("int").alias("by"), (F.col("x") / 8).cast("int").alias("bx")).select("t", "y", "x", (F.col("by") * 4 + F.col("bx") + 1).alias("id"))
+_TRACK = f"""{OBS_SQL}, lab as (select t, y, x, cast(y // 8 * 4 + x // 8 + 1 as integer) id from obs where v > 30), {FLOW_SQL},
+  adv as (select distinct t + 1 t, id, least(greatest(y + cast(round_even(avg(flow.v) over w, 0) as integer), 0), {N - 1}) y, least(greatest(x + cast(round_even(avg(u) over w, 0) as integer), 0), {N - 1}) x from lab join flow using (y, x) window w as (partition by t, id)),
+  sz as (select t, id, count(*) s from adv group by 1, 2), sh as (select a.t, a.id, l.id next_id, count(*) n, count(*) / any_value(s) overlap from adv a join lab l on a.t = l.t and a.y = l.y and a.x = l.x join sz on sz.t = a.t and sz.id = a.id group by 1, 2, 3),
+  r as (select *, row_number() over (partition by t, id order by overlap desc, next_id) r from sh), b as (select *, r = 1 and overlap >= 0.3 best from r),
+  f as (select *, row_number() over (partition by t, next_id, best order by n desc, id) fst, max(case when best then 1 else 0 end) over (partition by t, next_id) taken from b),
+  k as (select t, id, next_id, case when best and fst = 1 then 'carried' when r = 1 and taken = 1 and overlap >= 0.1 then 'merged' when r > 1 and taken = 0 and overlap > 0.1 then 'split' end kind from f)"""
+add("cell_links", lambda s, d: K.links(K.overlaps(K.advect_cells(_LABELS(s, d), flow(s), N, N), _LABELS(s, d)), 0.3), f"with {_TRACK} select cast(t as integer) t, id, next_id, kind from k where kind is not null")
+add("tracks", lambda s, d: K.tracks(_LABELS(s, d), flow(s), N, N, 3, match_share=0.3), f"""with recursive {_TRACK}, c as (select distinct t, id from lab), p as (select t, next_id id, t - 1 pt, id pid from k where kind = 'carried'),
+  chain as (select c.t, c.id, c.t * 4294967296 + c.id track from c left join p using (t, id) where p.pt is null union all select p.t, p.id, chain.track from chain join p on p.pt = chain.t and p.pid = chain.id),
+  n as (select *, count(*) over (partition by track) n from chain) select cast(track as bigint) track, t, id from n where n >= 3""")
+
+# -- joins and groupings
+
+_PROBE = lambda s, d: read(s, d, "nowcast_runs").select("run_id", "source", F.col("issuetime").alias("ts"))
+_FRAMES = lambda s, d: read(s, d, "radar_frames").select("source", "ts", "frame_id")
+add("asof_join", lambda s, d: J.asof_join(_PROBE(s, d), _FRAMES(s, d), "ts", ["frame_id"], ["source"]), "select r.run_id, r.source, r.issuetime ts, (select arg_max(frame_id, (f.ts, frame_id)) from radar_frames f where f.source is not distinct from r.source and f.ts <= r.issuetime) frame_id from nowcast_runs r")
+add("asof_join_within", lambda s, d: J.asof_join(_PROBE(s, d), _FRAMES(s, d), "ts", ["frame_id"], ["source"], "3 days"), "select r.run_id, r.source, r.issuetime ts, (select arg_max(frame_id, (f.ts, frame_id)) from radar_frames f where f.source is not distinct from r.source and f.ts <= r.issuetime and f.ts >= r.issuetime - interval 3 days) frame_id from nowcast_runs r")
+_SETS = [["event_type", "day"], ["event_type"], ["day"], []]
+add("grouping_sets", lambda s, d: J.grouped_by_sets(read(s, d, "events").withColumn("day", F.to_date("ts")), _SETS, {"n": F.count("*"), "mean": F.avg("value")}), "with e as (select *, cast(ts as date) as day from events) select case grouping(event_type) * 2 + grouping(day) when 0 then 0 when 1 then 1 when 2 then 2 else 3 end as level, event_type, day, count(*) n, ROUND6(avg(value)) mean from e group by grouping sets ((event_type, day), (event_type), (day), ())")
+_WET = lambda df, thr: df.where(F.col("v") > thr)
+_WSQL = f"with {OBS_SQL}, {MODEL_SQL}, a as (select t, y, x, v from obs where v > 100), b as (select t, y, x, v from model where v > 20)"
+add("cells_in_both", lambda s, d: J.in_both(_WET(obs(s, d), 100), _WET(model(s, d), 20), ["t", "y", "x"]), f"{_WSQL} select t, y, x from a intersect select t, y, x from b")
+add("cells_only_first", lambda s, d: J.only_first(_WET(obs(s, d), 100), _WET(model(s, d), 20), ["t", "y", "x"]), f"{_WSQL} select t, y, x from a except select t, y, x from b")
+add("cells_with_partner", lambda s, d: J.having_partner(_WET(obs(s, d), 100), _WET(model(s, d), 20), ["y", "x"]), f"{_WSQL} select t, y, x, v from a semi join b using (y, x)")
+add("cells_without_partner", lambda s, d: J.having_partner(_WET(obs(s, d), 100), _WET(model(s, d), 20), ["t", "y", "x"], False), f"{_WSQL} select t, y, x, v from a anti join b using (t, y, x)")
+_SPINE = lambda s: G.date_spine(s, "2024-02-28 23:40:00", 10, 3, 4)
+_PATHS = "e as (select cast(range as integer) k, timestamp '2024-02-28 23:40:00' + to_minutes(cast(range * 10 as integer)) ts from range(-3, 5)), p as (select *, '/arc/' || strftime(ts, '%Y/%m%d') folder, 'R' || strftime(ts, '%y%j%H%M') || '?.tif' as name from e)"
+add("archive_paths", lambda s, d: G.expected_paths(_SPINE(s), "/arc/", "%Y/%m%d", "R%y%j%H%M?", "tif"), f"with {_PATHS} select k, ts, folder, name from p")
+
+
+def _found(s, d):
+    made = G.expected_paths(_SPINE(s), "/arc", "%Y/%m%d", "R%y%j%H%M", "tif").where("k <> 1")
+    each = F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("xx")))
+    files = made.select("folder", F.regexp_replace("name", "[.]tif$", "").alias("stem"), each.alias("mark")).select(F.concat("folder", F.lit("/"), "stem", "mark", F.lit(".tif")).alias("path"))
+    return G.found_files(G.expected_paths(_SPINE(s), "/arc", "%Y/%m%d", "R%y%j%H%M?", "tif"), files)
+
+
+add("archive_files", _found, f"with {_PATHS} select k, ts, case when k <> 1 then folder || '/R' || strftime(ts, '%y%j%H%M') || 'a.tif' end as path from p")
+
+# -- blending and forecast helpers
+
+add("blending_ratios", lambda s, d: B.blending_ratios(s.range(18).select((F.col("id") / 3).cast("int").alias("level"), (F.col("id") % 3).cast("int").alias("component"), (1.1 - F.col("id") * 0.07).alias("skill"))), "with c as (select cast(range // 3 as integer) as level, cast(range % 3 as integer) component, least(greatest(1.1 - range * 0.07, 1e-5), 0.99999) c from range(18)) select level, component, ROUND6(c * c / (1 - c * c)) ratio from c")
+_MENS = "mens as (select m.range as member, o.t + m.range t, o.y, o.x, o.v from model o, range(1, 6) m where o.t + m.range between 5 and 29)"
+add("lien_criterion", lambda s, d: B.wet_enough(ens(s, d), lagged_ensemble(model(s, d), 5), 30.0, 2).groupBy("t", "both").agg(F.count("*").alias("n")), f"with {ENS_SQL}, {MODEL_SQL}, {_MENS}, a as (select t, y, x, count(*) filter (v >= 30) a from ens group by 1, 2, 3), b as (select t, y, x, count(*) filter (v >= 30) b from mens group by 1, 2, 3) select cast(t as integer) t, coalesce(a, 0) >= 2 and coalesce(b, 0) >= 2 as both, count(*) n from a full join b using (t, y, x) group by 1, 2")
+_COMP = lambda e, f: e.select("t", "member", (F.col("y") * N + F.col("x")).alias("i"), f.alias("v"))
+add("matching_share", lambda s, d: B.matching_share(_COMP(ens(s, d), F.col("v")), _COMP(ens(s, d), F.col("v") + F.col("member")), _COMP(ens(s, d), 2 * F.col("v") + F.col("y"))), f"with {ENS_SQL}, m as (select t, member, sum(v + member - v) da, sum(2 * v + y - v) dd from ens group by 1, 2) select t, ROUND6(avg(case when dd <> 0 then least(greatest(da / dd, 0), 1) else 0 end)) share from m group by t")
+add("binned_leads", lambda s, d: B.binned_leads(s.range(25).select((F.col("id") * 0.37).alias("lead"))).select("bin", F.explode("leads").alias("lead")), "select cast(floor(range * 0.37) as integer) bin, ROUND6(range * 0.37) as lead from range(25)")
+add("stacked_levels", lambda s, d: B.stacked_levels(obs(s, d).select(F.lit(0).alias("case"), "t", F.col("y").alias("level"), "x", "v").groupBy("case", "t", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"]).alias("data"))).select("level", F.posexplode("stack").alias("t", "data")).select("level", "t", F.posexplode("data").alias("x", "v")), f"with {OBS_SQL} select y as level, t, x, v from obs")
+_MASKS = lambda s, d: G.to_tensor(obs(s, d).withColumn("case", F.lit(0)), ("case", "t"))
+add("mask_window", lambda s, d: G.to_cells(P.mask_windows(_MASKS(s, d), 4.0, 5.0)), f"with {OBS_SQL}, d as (select o.t, o.y, o.x, min(sqrt((o.y - f.y) ** 2 + (o.x - f.x) ** 2)) d from obs o join obs f on o.t = f.t and f.v < 5 and (o.v >= 5 and abs(o.y - f.y) <= 4 and abs(o.x - f.x) <= 4 or o.y = f.y and o.x = f.x) group by 1, 2, 3) select t, y, x, ROUND6(case when coalesce(d, 4) >= 4 then 1 else 0.5 * (1 - cos(pi() * d / 4)) end) v from obs left join d using (t, y, x)")
+
+
+def _bands(s, d):
+    import numpy as np
+
+    from rainweft.kernels import spectral
+
+    w = spectral.band_weights((32, 32), 6)
+    rows = [(int(k), int(i), int(j), float(w[k, i, j])) for k, i, j in np.ndindex(w.shape)]
+    return s.createDataFrame(rows, "level int, ky int, kx int, w double")
+
+
+add("band_weights", _bands, """with q as (select 16 ** (1 / 6.0) q), k as (select a.range ky, b.range kx, sqrt((case when a.range >= 16 then a.range - 32 else a.range end) ** 2 + b.range ** 2) r from range(32) a, range(17) b),
+  w as (select l.range lv, ky, kx, case when r = 0 then case when l.range = 0 then 1.0 else 0.0 end else exp(-((ln(r) / ln(q) - ln((q ** l.range + q ** (l.range + 1)) / 2) / ln(q)) ** 2) / 0.5) end w from k, q, range(6) l)
+  select cast(lv as integer) as level, cast(ky as integer) ky, cast(kx as integer) kx, ROUND6(w / sum(w) over (partition by ky, kx)) w from w""")
+add("soft_mask", lambda s, d: P.soft_masks(_MASKS(s, d), 100.0, 4, blur=1).select("t", F.explode("data").alias("v")).groupBy("t").agg(F.avg("v").alias("mean")))
+add("noise_adjustments", lambda s, d: P.noise_adjustments(tensors(s, d), -10.0, 5, 4).groupBy("level").agg(F.avg("factor").alias("factor")))
+add("rainfarm_smoothed", lambda s, d: P.downscaled(_MASKS(s, d).withColumn("data", F.transform("data", lambda v: v + 1.0)), 4, alpha=2.0, kernel="gaussian", fusion=True).select("t", F.explode("data").alias("v")).groupBy("t").agg(F.avg("v").alias("mean"), F.count("*").alias("n")))
