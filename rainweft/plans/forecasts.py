@@ -58,8 +58,10 @@ def summary(f):
 add("tensor_round_trip", lambda s, d: G.to_cells(G.to_tensor(obs(s, d))), f"with {OBS_SQL} select t, y, x, v from obs")
 for _m in ("constant", "lucaskanade", "darts", "proesmans", "vet", "farneback"):
     add(f"motion_{_m}", lambda s, d, m=_m: flows(s, d, m).select("case", F.explode(F.arrays_zip("u", "v")).alias("f")).groupBy("case").agg(F.avg("f.u").alias("u"), F.avg("f.v").alias("v"), F.count("*").alias("n")))
+_DB = f"{OBS_SQL}, db as (select t, y, x, case when v < 0.1 then -15 else 10 * log10(v) end v from obs)"
+_LAST = f'with {_DB}, l as (select t, avg(v) m, stddev_pop(v) sd, avg(case when v > -10 then 1.0 else 0.0 end) wet, count(v) n from db group by t) select t as "case", 0 as member, cast(k.range as double) as lead, ROUND6(m) mean, ROUND6(sd) spread, ROUND6(wet) wet, n present from l, range(1, 4) k where t >= 2'
 for _m in ("extrapolation", "eulerian", "sprog", "anvil", "linda"):
-    add(f"nowcast_{_m}", lambda s, d, m=_m: summary(P.nowcasts(stacks(s, d), flows(s, d), [1, 2, 3], m)))
+    add(f"nowcast_{_m}", lambda s, d, m=_m: summary(P.nowcasts(stacks(s, d), flows(s, d), [1, 2, 3], m)), _LAST if _m == "eulerian" else None)
 add("nowcast_steps", lambda s, d: summary(P.nowcasts(stacks(s, d), flows(s, d), [1, 2, 3], "steps", members=4)))
 add("nowcast_sseps", lambda s, d: summary(P.nowcasts(stacks(s, d), flows(s, d), [1, 2, 3], "sseps", members=4, window=16)))
 _ZERO = lambda s, d: P.motion_fields(P.frame_stacks(plain(s, d), 3), "none")
@@ -74,6 +76,29 @@ def _shift(s, d):
 add("semilagrangian_shift", _shift, f"with {OBS_SQL} select cast(l.range as double) as lead, g.y, g.x, o.v from range(1, 3) l, (select distinct y, x from grid) g left join obs o on o.t = 29 and o.y = g.y + l.range and o.x = g.x - 2 * l.range")
 
 
+def _half(s, d):
+    """Half a cell to the left and a quarter down: every value is a mean of four."""
+    f = _ZERO(s, d).select("case", "ny", "nx", F.transform("u", lambda _: F.lit(-0.5)).alias("u"), F.transform("v", lambda _: F.lit(0.25)).alias("v"))
+    return G.to_cells(P.nowcasts(P.frame_stacks(plain(s, d), 1), f, [1], "extrapolation"), ("lead",))
+
+
+add("semilagrangian_fraction", _half, f"with {OBS_SQL}, f as (select * from obs where t = 29) select cast(1 as double) as lead, g.y, g.x, ROUND6(case when g.y > 0 and g.x < 31 then 0.25 * (0.5 * a.v + 0.5 * b.v) + 0.75 * (0.5 * c.v + 0.5 * e.v) end) v from (select distinct y, x from grid) g left join f a on a.y = g.y - 1 and a.x = g.x left join f b on b.y = g.y - 1 and b.x = g.x + 1 left join f c on c.y = g.y and c.x = g.x left join f e on e.y = g.y and e.x = g.x + 1")
+
+
+def _spread(s, d):
+    e = read(s, d, "embeddings").select(F.col("vec_id").alias("case"), F.lit(0).alias("t"), F.lit(8).alias("ny"), F.lit(8).alias("nx"), F.col("embedding").cast("array<double>").alias("data"))
+    return P.decomposed(e, 3).select("case", "level", F.round("mu", 5).alias("mu"), F.round("sigma", 5).alias("sigma"))
+
+
+add("cascade_levels", _spread, """with c as (select vec_id, (i - 1) // 8 y, (i - 1) % 8 x, embedding[i]::double v from embeddings, (select range i from range(1, 65))),
+  k as (select a.range - 4 ky, b.range - 4 kx, sqrt((a.range - 4) ** 2 + (b.range - 4) ** 2) r from range(8) a, range(8) b),
+  p as (select vec_id, ky, kx, any_value(r) r, sum(v * cos(2 * pi() * (ky * y + kx * x) / 8)) re, sum(v * sin(2 * pi() * (ky * y + kx * x) / 8)) im from c, k group by 1, 2, 3),
+  q as (select 4 ** (1 / 3.0) q), w as (select ky, kx, l.range lv, exp(-((ln(r) / ln(q) - ln((q ** l.range + q ** (l.range + 1)) / 2) / ln(q)) ** 2) / 0.5) w from k, q, range(3) l where r > 0),
+  n as (select ky, kx, lv, w / sum(w) over (partition by ky, kx) w from w)
+  select vec_id as "case", cast(l.range as integer) as level, round(sum(case when r = 0 and l.range = 0 then re / 64 else 0 end), 5) + 0.0 mu, round(sqrt(sum(case when r > 0 then n.w ** 2 * (re ** 2 + im ** 2) else 0 end)) / 64, 5) + 0.0 sigma
+  from p cross join range(3) l left join n on n.ky = p.ky and n.kx = p.kx and n.lv = l.range group by 1, 2""")
+
+
 def _cascade(s, d):
     lev = P.decomposed(plain(s, d), 5)
     e = lev.select("t", "level", "nx", "mu", "sigma", F.posexplode("data").alias("pos", "v"))
@@ -129,7 +154,7 @@ add("registry", lambda s, d: registry.to_df(s))
 def _stream(s, d):
     path = f"{d}/events.parquet"
     raw = Z.read_stream(s, path, s.read.parquet(path).schema)
-    return Z.drained(Z.tumbling(raw, "ts", "value", ["event_type"], "1 hour", "3650 days"), "update", ["window_end", "event_type"])
+    return Z.drained(Z.tumbling(raw, "ts", "value", ["event_type"], "1 hour", "1 day"), "update", ["window_end", "event_type"])
 
 
 add("stream_tumbling", _stream, "select time_bucket(interval 1 hour, ts) + interval 1 hour window_end, event_type, count(value) n, ROUND6(sum(value)) total, ROUND6(avg(value)) mean from events group by 1, 2")
@@ -141,4 +166,15 @@ def _stateful(s, d):
     return Z.drained(Z.persistence(raw, "event_type", "ts", "value")).groupBy("key").agg(F.count("*").alias("n"), F.sum("forecast").alias("total"))
 
 
-add("stream_nowcast", _stateful)
+add("stream_nowcast", _stateful, "with l as (select event_type as key, lag(value, 1, 0) over w a, lag(value, 2, 0) over w b from events window w as (partition by event_type order by ts)) select key, count(*) n, ROUND6(sum(0.8 * a + 0.1 * b)) total from l group by key")
+
+
+def _events(s, d):
+    path = f"{d}/events.parquet"
+    return Z.read_stream(s, path, s.read.parquet(path).schema)
+
+
+add("stream_contingency", lambda s, d: Z.drained(Z.contingency(_events(s, d).withColumn("f", F.col("user_id") % 500), "ts", "f", "value", ["event_type"], 100.0, "1 day"), "update", ["window_end", "event_type"]), "with e as (select *, user_id % 500 f from events) select cast(cast(ts as date) + 1 as timestamp) window_end, event_type, count(*) filter (f > 100 and value > 100) h, count(*) filter (not f > 100 and value > 100) m, count(*) filter (f > 100 and not value > 100) f, count(*) filter (not f > 100 and not value > 100) r from e group by 1, 2")
+add("stream_sliding", lambda s, d: Z.drained(Z.sliding(_events(s, d), "ts", "value", ["event_type"], "2 hours", "1 hour", "1 day"), "update", ["window_end", "event_type"]), "with w as (select *, time_bucket(interval 1 hour, ts) + to_hours(cast(k.range as integer)) window_end from events, range(1, 3) k) select window_end, event_type, count(value) n, ROUND6(sum(value)) total, ROUND6(avg(value)) mean from w group by 1, 2")
+add("stream_sessions", lambda s, d: Z.drained(Z.sessions(_events(s, d), "ts", ["event_type"], "30 minutes", "1 day").withColumnRenamed("last", "until"), "append").groupBy("event_type").agg(F.count("*").alias("sessions"), F.sum("n").alias("n")), None)
+add("stream_recent_frames", lambda s, d: Z.drained(Z.recent_frames(_events(s, d), "event_type", "ts", "value", 3)).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.element_at("stack", 1) + 2 * F.element_at("stack", 3)).alias("total")), "with l as (select event_type as key, value, lag(value, 2) over (partition by event_type order by ts) a from events) select key, count(*) n, ROUND6(sum(a + 2 * value)) total from l where a is not null group by key")

@@ -92,7 +92,14 @@ _SAL = f"{PAIR_SQL}, d as (select *, round(p / max(p) over (partition by t) - o
 add("ranked_salience", lambda s, d: R.ranked_salience(pairs(s, d)), f"with {_SAL} select t, y, x, ROUND6(p) p, ROUND6(o) o, ROUND6(s) salience from sal")
 add("salient_blending", lambda s, d: B.salient_blend(pairs(s, d), 0.37), f"with {_SAL} select t, y, x, ROUND6(s * 0.1369 / (s * 0.1369 + (1 - s) * 0.3969) * p + (1 - s * 0.1369 / (s * 0.1369 + (1 - s) * 0.3969)) * o) v from sal")
 add("resample_distributions", lambda s, d: R.resample(obs(s, d), model(s, d), 1.0).select("t", "rank", "v"), f"with {OBS_SQL} select t, row_number() over (partition by t order by v desc, y, x) as rank, v from obs")
-add("normal_quantile", lambda s, d: R.normal_scores(obs(s, d)))
+# A rational approximation of the normal quantile, good to nine digits.
+_TAIL, _MID = "sqrt(-2 * ln(least(q, 1 - q)))", "(q - 0.5)"
+_QUANTILE = f"""case when least(q, 1 - q) < 0.02425 then (case when q < 0.5 then 1 else -1 end)
+    * (((((-7.784894002430293e-03 * {_TAIL} - 3.223964580411365e-01) * {_TAIL} - 2.400758277161838) * {_TAIL} - 2.549732539343734) * {_TAIL} + 4.374664141464968) * {_TAIL} + 2.938163982698783)
+    / ((((7.784695709041462e-03 * {_TAIL} + 3.224671290700398e-01) * {_TAIL} + 2.445134137142996) * {_TAIL} + 3.754408661907416) * {_TAIL} + 1)
+  else (((((-3.969683028665376e+01 * {_MID} ** 2 + 2.209460984245205e+02) * {_MID} ** 2 - 2.759285104469687e+02) * {_MID} ** 2 + 1.383577518672690e+02) * {_MID} ** 2 - 3.066479806614716e+01) * {_MID} ** 2 + 2.506628277459239) * {_MID}
+    / (((((-5.447609879822406e+01 * {_MID} ** 2 + 1.615858368580409e+02) * {_MID} ** 2 - 1.556989798598866e+02) * {_MID} ** 2 + 6.680131188771972e+01) * {_MID} ** 2 - 1.328068155288572e+01) * {_MID} ** 2 + 1) end"""
+add("normal_quantile", lambda s, d: R.normal_scores(obs(s, d)).select("t", "y", "x", F.round("v", 5).alias("v")), f"with {OBS_SQL}, r as (select *, row_number() over (partition by t, v <> 0 order by v, y, x) / (count(*) over (partition by t, v <> 0) + 1.0) q from obs) select t, y, x, round(case when v = 0 then v else {_QUANTILE} end, 5) + 0.0 v from r")
 
 # -- points
 add("decluster", lambda s, d: S.decluster(points(s, d), 10.0, 2), f"with {PTS_SQL} select cast(floor(x / 10) as bigint) bx_, cast(floor(y / 10) as bigint) by_, ROUND6(median(x)) x, ROUND6(median(y)) y, ROUND6(median(u)) u, ROUND6(median(v)) v from pts group by 1, 2 having count(*) >= 2")
