@@ -61,24 +61,24 @@ def object_cells(cells: DataFrame, keys: Sequence[str] = ("t",), factor: float =
 
 def object_table(found: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
     """``(keys, id, total, peak, area, cy, cx)``: mass, peak, size and centre of mass of each object."""
-    mass = lambda c: F.sum(F.col("v") * F.col(c)) / F.sum("v")
+    mass = lambda c: F.try_divide(F.sum(F.col("v") * F.col(c)), F.sum("v"))
     return found.groupBy(*keys, "id").agg(F.sum("v").alias("total"), F.max("v").alias("peak"), F.count("*").alias("area"), mass("y").alias("cy"), mass("x").alias("cx"))
 
 
 def scaled_volume(objects: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
     """``(keys, volume)``: mean of mass over peak of the objects, weighted by mass."""
-    return objects.groupBy(*keys).agg((F.sum(F.col("total") * F.col("total") / F.col("peak")) / F.sum("total")).alias("volume"))
+    return objects.groupBy(*keys).agg(F.try_divide(F.sum(F.try_divide(F.col("total") * F.col("total"), F.col("peak"))), F.sum("total")).alias("volume"))
 
 
 def weighted_distance(objects: DataFrame, centres: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
     """``(keys, distance)``: distance of the objects from the field's centre (my, mx), weighted by mass."""
     j = objects.join(centres, list(keys))
     d = F.sqrt(F.pow(F.col("cy") - F.col("my"), F.lit(2.0)) + F.pow(F.col("cx") - F.col("mx"), F.lit(2.0)))
-    return j.groupBy(*keys).agg((F.sum(F.col("total") * d) / F.sum("total")).alias("distance"))
+    return j.groupBy(*keys).agg(F.try_divide(F.sum(F.col("total") * d), F.sum("total")).alias("distance"))
 
 
 def centres_of_mass(cells: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
-    mass = lambda c: F.sum(F.col("v") * F.col(c)) / F.sum("v")
+    mass = lambda c: F.try_divide(F.sum(F.col("v") * F.col(c)), F.sum("v"))
     return cells.groupBy(*keys).agg(mass("y").alias("my"), mass("x").alias("mx"))
 
 

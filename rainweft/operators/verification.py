@@ -330,7 +330,7 @@ def sal_amplitude(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def sal_location1(pairs: DataFrame, ny: int, nx: int, keys: Sequence[str] = ()) -> DataFrame:
     """Distance of the two centres of mass as a share of the domain's diagonal."""
-    mass = lambda c, x: F.sum(F.col(c) * F.col(x)) / F.sum(c)
+    mass = lambda c, x: F.try_divide(F.sum(F.col(c) * F.col(x)), F.sum(c))
     s = pairs.groupBy(*keys).agg(*[mass(c, x).alias(c + x) for c in "po" for x in "yx"])
     d = F.sqrt(F.pow(F.col("py") - F.col("oy"), F.lit(2.0)) + F.pow(F.col("px") - F.col("ox"), F.lit(2.0)))
     return s.select(*keys, (d / float((ny * ny + nx * nx) ** 0.5)).alias("l1"))

@@ -9,6 +9,7 @@ from rainweft.operators import forecast as P
 from rainweft.operators import grid as G
 from rainweft.operators import joins as J
 from rainweft.operators import objects as O
+from rainweft.operators import reprojection as X
 from rainweft.operators import series as A
 from rainweft.operators import tracking as K
 from rainweft.operators import verification as V
@@ -216,3 +217,6 @@ add("band_weights", _bands, """with q as (select 16 ** (1 / 6.0) q), k as (selec
 add("soft_mask", lambda s, d: P.soft_masks(_MASKS(s, d), 100.0, 4, blur=1).select("t", F.explode("data").alias("v")).groupBy("t").agg(F.avg("v").alias("mean")))
 add("noise_adjustments", lambda s, d: P.noise_adjustments(tensors(s, d), -10.0, 5, 4).groupBy("level").agg(F.avg("factor").alias("factor")))
 add("rainfarm_smoothed", lambda s, d: P.downscaled(_MASKS(s, d).withColumn("data", F.transform("data", lambda v: v + 1.0)), 4, alpha=2.0, kernel="gaussian", fusion=True).select("t", F.explode("data").alias("v")).groupBy("t").agg(F.avg("v").alias("mean"), F.count("*").alias("n")))
+_SRC = {"projection": "+proj=merc +lon_0=0", "x1": 0.0, "y1": 0.0, "xpixelsize": 1000.0, "ypixelsize": 1000.0, "yorigin": "upper"}
+_DST = {"projection": "+proj=merc +lon_0=0", "x1": -1700.0, "y1": 5200.0, "xpixelsize": 1500.0, "ypixelsize": 2500.0, "yorigin": "lower"}
+add("reproject_grids", lambda s, d: G.to_cells(X.reproject_grids(G.to_tensor(obs(s, d)), _SRC, _DST, (12, 20))), f"with {OBS_SQL}, g as (select cast(a.range as integer) y, cast(b.range as integer) x, 31 - floor((5200 + (a.range + 0.5) * 2500) / 1000) sy, floor((-1700 + (b.range + 0.5) * 1500) / 1000) sx from range(12) a, range(20) b), f as (select distinct t from obs) select f.t, g.y, g.x, o.v from f cross join g left join obs o on o.t = f.t and o.y = g.sy and o.x = g.sx")

@@ -255,7 +255,7 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         rasters.read_frames(spark, str(tmp_path), "nothing")
     with pytest.raises(MissingOptionalDependency):
-        rasters.read_frames(spark, str(tmp_path), "mrms_grib")
+        rasters.read_frames(spark, str(tmp_path), "mch_metranet")
     assert rasters.unpacked(np.array([0, 255, 10]), 0.5, -32.0, 255, 0, -30.0).tolist()[::2] == [-30.0, -27.0]
 
 
@@ -267,8 +267,6 @@ def test_sinks(spark, tmp_path):
     assert "N = 2" in text[0] and "1.50" in text[0]
     with pytest.raises(DirectoryNotEmpty):
         sinks.ensure_empty(spark, str(tmp_path / "p"))
-    with pytest.raises(MissingOptionalDependency):
-        sinks.write_forecast(df, str(tmp_path / "n"), "netcdf")
     with pytest.raises(ValueError):
         sinks.write_forecast(df, str(tmp_path / "k"), "kineros", "timestep")
 
