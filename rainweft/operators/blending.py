@@ -106,7 +106,7 @@ def end_weight(weight: Column, is_model: Column, step: Column, start: int, last:
 def blended_moments(components: DataFrame) -> DataFrame:
     """``(level, component, mu, sigma, weight)`` to the weighted means per level."""
     w = F.sum("weight")
-    return components.groupBy("level").agg((F.sum(F.col("mu") * F.col("weight")) / w).alias("mu"), (F.sum(F.col("sigma") * F.col("weight")) / w).alias("sigma"))
+    return components.groupBy("level").agg(F.try_divide(F.sum(F.col("mu") * F.col("weight")), w).alias("mu"), F.try_divide(F.sum(F.col("sigma") * F.col("weight")), w).alias("sigma"))
 
 
 def blend_fields(fields: DataFrame, weights: DataFrame, keys: Sequence[str], values: Sequence[str], normalise: bool = True) -> DataFrame:
@@ -114,7 +114,7 @@ def blend_fields(fields: DataFrame, weights: DataFrame, keys: Sequence[str], val
     on = [c for c in weights.columns if c != "weight"]
     j = fields.join(weights, on)
     total = F.sum("weight") if normalise else F.lit(1.0)
-    return j.groupBy(*keys).agg(*[(F.sum(F.col(c) * F.col("weight")) / total).alias(c) for c in values])
+    return j.groupBy(*keys).agg(*[F.try_divide(F.sum(F.col(c) * F.col("weight")), total).alias(c) for c in values])
 
 
 def recompose(levels: DataFrame, keys: Sequence[str] = ("y", "x")) -> DataFrame:
@@ -140,7 +140,7 @@ def filter_covariance(ens: DataFrame, inflation: float = 1.0, offset: float = 0.
     c = ens.withColumn("d", F.col("v") - F.avg("v").over(w))
     a, b = c.select("member", "i", F.col("d").alias("a")), c.select("member", F.col("i").alias("j"), F.col("d").alias("b"))
     n = F.count("*") - 1
-    return a.join(b, "member").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / n * inflation).alias("cov")).select("i", "j", (F.col("cov") + F.when(F.col("i") == F.col("j"), offset).otherwise(0.0)).alias("cov"))
+    return a.join(b, "member").groupBy("i", "j").agg((F.try_divide(F.sum(F.col("a") * F.col("b")), n) * inflation).alias("cov")).select("i", "j", (F.col("cov") + F.when(F.col("i") == F.col("j"), offset).otherwise(0.0)).alias("cov"))
 
 
 def blending_ratios(correlations: DataFrame) -> DataFrame:

@@ -47,9 +47,9 @@ def band_depth(ens: DataFrame, normalise: bool = False, keys: Sequence[str] = CE
     r = ens.withColumn("n", F.count("v").over(size)).withColumn("k", F.count(F.lit(1)).over(size)).where("n = k")
     r = r.withColumn("r", F.row_number().over(size.orderBy("v", "member")))
     inside = (F.col("n") - F.col("r")) * (F.col("r") - 1) + F.col("n") - 1
-    depth = r.groupBy("member").agg(F.avg(inside / (F.col("n") * (F.col("n") - 1) / 2.0)).alias("depth"))
+    depth = r.groupBy("member").agg(F.avg(F.try_divide(inside.cast("double"), F.col("n") * (F.col("n") - 1) / 2.0)).alias("depth"))
     if not normalise:
         return depth
     ends = depth.agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    return depth.select("member", ((F.col("depth") - lo) / (hi - lo)).alias("depth"))
+    return depth.select("member", F.try_divide(F.col("depth") - lo, hi - lo).alias("depth"))

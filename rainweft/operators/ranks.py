@@ -42,7 +42,7 @@ def empirical_cdf(cells: DataFrame, edges: Sequence[float]) -> DataFrame:
     bins = cells.sparkSession.range(len(edges) - 1).select(F.col("id").cast("int").alias("b")).join(h, "b", "left")
     area = F.coalesce("h", F.lit(0)) * F.element_at(width, F.col("b") + 1)
     w = Window.partitionBy(F.lit(1)).orderBy("b")  # as many rows as bins
-    c = bins.select("b", (F.sum(area).over(w) / F.sum(area).over(Window.partitionBy(F.lit(1)))).alias("cdf"))
+    c = bins.select("b", F.try_divide(F.sum(area).over(w), F.sum(area).over(Window.partitionBy(F.lit(1)))).alias("cdf"))
     zero = cells.sparkSession.range(1).select(F.lit(float(edges[0])).alias("edge"), F.lit(0.0).alias("cdf"))
     return zero.unionAll(c.select(F.element_at(e, F.col("b") + 2).alias("edge"), "cdf"))
 
@@ -81,7 +81,7 @@ def resample(first: DataFrame, second: DataFrame, share: float, seed: int = 42,
 def ranked_salience(pairs: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
     """Dense rank of the scaled difference of nowcast ``p`` and model ``o``, from 0 to 1."""
     w = Window.partitionBy(*keys)
-    n = lambda c: F.col(c) / F.max(c).over(w)
+    n = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(w)), F.lit(0.0))
     d = pairs.withColumn("d", F.round(n("p") - n("o"), 12))
     r = d.withColumn("r", F.dense_rank().over(w.orderBy("d")))
     return r.select(*keys, "y", "x", "p", "o", (F.col("r") / F.max("r").over(w)).alias("salience"))

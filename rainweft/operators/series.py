@@ -106,14 +106,15 @@ def ols_fits(cells: DataFrame, p: int, keys: Sequence[str] = (), d: int = 0, lam
 def _solved(sums: DataFrame, p: int, keys: Sequence[str], lam: float) -> DataFrame:
     c = {k: F.col(k) for k in sums.columns}
     if p == 1:
-        phi = [c["s01"] / (c["s11"] + lam)]
+        phi = [F.try_divide(c["s01"], c["s11"] + lam)]
     elif p == 2:
         a, b, e = c["s11"] + lam, c["s12"], c["s22"] + lam
         det = a * e - b * b
         phi = [F.when(det != 0, (e * c["s01"] - b * c["s02"]) / det), F.when(det != 0, (a * c["s02"] - b * c["s01"]) / det)]
     else:
         raise ValueError("closed forms are there for p 1 and 2; use ols_sums and ols_parameters")
-    rest = F.greatest(c["s00"] - sum((f * c[f"s0{k + 1}"] for k, f in enumerate(phi)), F.lit(0.0)), F.lit(0.0)) / c["s00"]
+    rest = F.greatest(c["s00"] - sum((f * c[f"s0{k + 1}"] for k, f in enumerate(phi)), F.lit(0.0)), F.lit(0.0))
+    rest = F.try_divide(rest, c["s00"])
     return sums.select(*keys, *[f.alias(f"phi_{k + 1}") for k, f in enumerate(phi)], F.when(c["s00"] > 0, F.sqrt(rest)).alias("phi_0"))
 
 

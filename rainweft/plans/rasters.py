@@ -105,9 +105,12 @@ add("normal_quantile", lambda s, d: R.normal_scores(obs(s, d)).select("t", "y",
 add("decluster", lambda s, d: S.decluster(points(s, d), 10.0, 2), f"with {PTS_SQL} select cast(floor(x / 10) as bigint) bx_, cast(floor(y / 10) as bigint) by_, ROUND6(median(x)) x, ROUND6(median(y)) y, ROUND6(median(u)) u, ROUND6(median(v)) v from pts group by 1, 2 having count(*) >= 2")
 add("outliers_global", lambda s, d: S.global_outliers(points(s, d), 1.5, "u").select("id", "outlier"), f"with {PTS_SQL} select id, abs(u - avg(u) over ()) / stddev_pop(u) over () > 1.5 outlier from pts")
 add("outliers_mahalanobis", lambda s, d: S.global_outliers_2d(points(s, d), 2.0).select("id", "outlier"), f"with {PTS_SQL}, g as (select avg(u) ma, avg(v) mb, var_samp(u) va, var_samp(v) vb, covar_samp(u, v) c from pts) select id, sqrt((vb * (u - ma) ** 2 - 2 * c * (u - ma) * (v - mb) + va * (v - mb) ** 2) / (va * vb - c * c)) > 2 outlier from pts, g")
-add("outliers_local", lambda s, d: S.local_outliers(points(s, d), 2.0, 8, 10.0).select("id", "outlier"), f"with {PTS_SQL}, n as (select a.id, b.u w, row_number() over (partition by a.id order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) r from pts a join pts b on a.id <> b.id and abs(a.x - b.x) <= 10 and abs(a.y - b.y) <= 10 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 10), s as (select id, avg(w) m, stddev_pop(w) s from n where r <= 8 group by id) select pts.id, coalesce(s > 0 and abs(u - m) / s > 2, false) outlier from pts left join s on s.id = pts.id")
-add("idw_interpolation", lambda s, d: S.idw(points(s, d), G.full_grid(s, 1, N, N), "u", 20, 0.5, 0.5, 20.0), f"with {PTS_SQL}, g as (select cast(a.range as integer) y, cast(b.range as integer) x from range({N}) a, range({N}) b), n as (select g.y, g.x, u, sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2) d, row_number() over (partition by g.y, g.x order by sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2), id) r from g join pts on abs(g.x - pts.x) <= 20 and abs(g.y - pts.y) <= 20 and sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2) <= 20), s as (select y, x, sum(u / (d + 0.5) ** 0.5) / sum(1 / (d + 0.5) ** 0.5) v from n where r <= 20 group by 1, 2) select g.y, g.x, ROUND6(v) v from g left join s on g.y = s.y and g.x = s.x")
-add("nearest_cell", lambda s, d: S.idw(points(s, d), G.full_grid(s, 1, N, N), "u", 1, 0.5, 0.5, 20.0), f"with {PTS_SQL}, g as (select cast(a.range as integer) y, cast(b.range as integer) x from range({N}) a, range({N}) b), n as (select g.y, g.x, u, row_number() over (partition by g.y, g.x order by sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2), id) r from g join pts on abs(g.x - pts.x) <= 20 and abs(g.y - pts.y) <= 20 and sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2) <= 20) select g.y, g.x, ROUND6(u) v from g left join n on g.y = n.y and g.x = n.x and r = 1")
+add("outliers_local", lambda s, d: S.local_outliers(points(s, d), 2.0, 8, 10.0).select("id", "outlier"), f"with {PTS_SQL}, n as (select a.id, b.u w, row_number() over (partition by a.id order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) r from pts a join pts b on a.id <> b.id), s as (select id, avg(w) m, stddev_pop(w) s from n where r <= 8 group by id) select pts.id, coalesce(s > 0 and abs(u - m) / s > 2, false) outlier from pts left join s on s.id = pts.id")
+add("idw_interpolation", lambda s, d: S.idw(points(s, d), G.full_grid(s, 1, N, N), "u", 20, 0.5, 0.5, 20.0), f"with {PTS_SQL}, g as (select cast(a.range as integer) y, cast(b.range as integer) x from range({N}) a, range({N}) b), n as (select g.y, g.x, u, sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2) d, row_number() over (partition by g.y, g.x order by sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2), id) r from g cross join pts), s as (select y, x, sum(u / (d + 0.5) ** 0.5) / sum(1 / (d + 0.5) ** 0.5) v from n where r <= 20 group by 1, 2) select g.y, g.x, ROUND6(v) v from g left join s on g.y = s.y and g.x = s.x")
+add("nearest_cell", lambda s, d: S.idw(points(s, d), G.full_grid(s, 1, N, N), "u", 1, 0.5, 0.5, 4.0), f"with {PTS_SQL}, g as (select cast(a.range as integer) y, cast(b.range as integer) x from range({N}) a, range({N}) b), n as (select g.y, g.x, u, row_number() over (partition by g.y, g.x order by sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2), id) r from g cross join pts) select g.y, g.x, ROUND6(u) v from g left join n on g.y = n.y and g.x = n.x and r = 1")
+
+add("idw_far", lambda s, d: S.idw(points(s, d).where("x > 60 and y > 60"), G.full_grid(s, 1, N, N), "u", 5, 0.5, 0.5, 8.0), f"with {PTS_SQL}, g as (select cast(a.range as integer) y, cast(b.range as integer) x from range({N}) a, range({N}) b), n as (select g.y, g.x, u, sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2) d, row_number() over (partition by g.y, g.x order by sqrt((g.x - pts.x) ** 2 + (g.y - pts.y) ** 2), id) r from g cross join pts where pts.x > 60 and pts.y > 60), s as (select y, x, sum(u / (d + 0.5) ** 0.5) / sum(1 / (d + 0.5) ** 0.5) v from n where r <= 5 group by 1, 2) select g.y, g.x, ROUND6(v) v from g left join s on g.y = s.y and g.x = s.x")
+add("rbf_interpolation", lambda s, d: S.rbf_nearest(S.decluster(points(s, d), 8.0).select((F.col("bx_") * 1000 + F.col("by_")).alias("id"), "x", "y", "u"), G.full_grid(s, 1, N, N), "u", 20, 10.0, 0.0, 20.0).select(F.count("*").alias("n"), F.count("v").alias("there")), f"select {N * N} n, {N * N} there")
 
 # -- series
 add("lag_correlation", lambda s, d: A.lag_correlations(obs(s, d), (1, 2)), f"with {OBS_SQL} select cast(29 - b.t as integer) lag, ROUND6(corr(a.v, b.v)) gamma from obs a join obs b on a.y = b.y and a.x = b.x where a.t = 29 and b.t in (27, 28) group by 1")

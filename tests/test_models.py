@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainweft.kernels import masks, spectral
-from rainweft.operators import joins, objects, ranks, series, tracking, verification
+from rainweft.operators import joins, objects, ranks, scattered, series, tracking, verification
 
 CELLS = "t int, y int, x int, v double"
 
@@ -167,6 +167,27 @@ def test_noise_and_downscaling():
     assert np.array_equal(np.isnan(even), np.isnan(holes)) and np.allclose(even[~np.isnan(even)], 3.0)
 
 
+def test_neighbours_at_any_distance(spark):
+    rng = np.random.RandomState(6)
+    xy = np.concatenate([rng.uniform(0, 4, (60, 2)), rng.uniform(900, 1000, (5, 2))])
+    pts = spark.createDataFrame([(k, float(x), float(y), float(k)) for k, (x, y) in enumerate(xy)], "id int, x double, y double, u double")
+    grid = spark.createDataFrame([(y, x) for y in range(0, 40, 7) for x in range(0, 40, 7)], "y int, x int")
+    got = {(r.y, r.x): r.v for r in scattered.idw(pts, grid, "u", 6, reach=0.5).collect()}
+    for (y, x), v in got.items():
+        d = np.hypot(xy[:, 0] - x, xy[:, 1] - y)
+        near = np.argsort(d, kind="stable")[:6]
+        w = 1 / (d[near] + 0.5) ** 0.5
+        assert v == pytest.approx((w * near).sum() / w.sum())
+    assert len(got) == 36
+    few = pts.where("id < 3")
+    assert all(r.v is not None for r in scattered.idw(few, grid, "u", 6, reach=0.5).collect())
+    assert all(r.v is None for r in scattered.idw(pts.limit(0), grid, "u", 6, reach=0.5).collect())
+    some = [(float(x), float(y), float(k)) for k, (x, y) in enumerate(xy[:20])]
+    whole = {(r.y, r.x): r.v for r in scattered.rbf(some, grid, epsilon=3.0).collect()}
+    local = {(r.y, r.x): r.v for r in scattered.rbf_nearest(pts.where("id < 20"), grid, "u", 50, 3.0, reach=2.0).collect()}
+    assert all(local[k] == pytest.approx(v, rel=1e-3, abs=1e-3) for k, v in whole.items())
+
+
 def test_asof_join(spark):
     rng = np.random.RandomState(4)
     at = lambda n: [int(k) for k in rng.randint(0, 400, n)]
