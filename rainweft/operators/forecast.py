@@ -72,25 +72,40 @@ def motion_fields(stacks: DataFrame, method: str = "lucaskanade", keys: Sequence
     return stacks.select(*keys, "ny", "nx", "stack").mapInArrow(run, f"{_types(stacks, keys)}, ny int, nx int, u array<double>, v array<double>")
 
 
-def nowcasts(stacks: DataFrame, flows: DataFrame, leads: Sequence[float], method: str = "steps", members: int = 1, seed: int = 1, threshold: float = -10.0, keys: Sequence[str] = ("case",), **how) -> DataFrame:
-    """``(keys..., member, lead, ny, nx, data)``. Each member's seed derives from ``seed`` and its number alone."""
+TOGETHER = 8  # members of a case that share one preparation
+
+
+def nowcasts(stacks: DataFrame, flows: DataFrame, leads: Sequence[float], method: str = "steps", members: int = 1, seed: int = 1, threshold: float = -10.0, keys: Sequence[str] = ("case",), together: int = TOGETHER, **how) -> DataFrame:
+    """``(keys..., member, lead, ny, nx, data)``. Each member's seed derives from ``seed`` and its number alone.
+
+    Members go to tasks in groups of ``together``: alignment, scale decomposition
+    and parameters are worked out once per group, and a case of many members is
+    still spread. The result doesn't depend on the groups.
+    """
     if method not in nowcast.METHODS:
         raise ValueError(f"unknown nowcast method {method}")
     if list(leads) != sorted(leads) or not leads:
         raise ValueError("leads must ascend")
     seeds = np.random.RandomState(seed).randint(0, 2**31 - 1, members).tolist()
     f = flows.select(*keys, "u", "v")
-    rows = stacks.join(f, list(keys)).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1)))).repartition(*keys, "member")
+    groups = F.explode(F.sequence(F.lit(0), F.lit(max(members - 1, 0) // together)))
+    rows = stacks.join(f, list(keys)).withColumn("part", groups).repartition(*keys, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, s in enumerate(_rasters(b)):
                 velocity = np.stack([np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False), float).reshape(s.shape[1:]) for c in "uv"])
-                member = b.column("member")[i].as_py()
-                got = nowcast.METHODS[method](s, velocity, list(leads), threshold=threshold, seed=seeds[member], **how)
-                yield _emit(b, [i] * len(leads), [*keys, "member", "ny", "nx"], {"lead": [float(x) for x in leads], "data": _lists(got)})
-
-    return rows.mapInArrow(run, f"{_types(stacks, keys)}, member int, ny int, nx int, lead double, data array<double>")
+                first = b.column("part")[i].as_py() * together
+                mine = list(range(first, min(first + together, members)))
+                shared = nowcast.SHARED.get(method)
+                if shared:
+                    got = shared(s, velocity, list(leads), threshold, [seeds[m] for m in mine], **how)
+                else:
+                    got = [nowcast.METHODS[method](s, velocity, list(leads), threshold=threshold, seed=seeds[m], **how) for m in mine]
+                for m, fields in zip(mine, got):
+                    yield _emit(b, [i] * len(leads), [*keys, "ny", "nx"], {"member": pa.array([m] * len(leads), pa.int32()), "lead": [float(x) for x in leads], "data": _lists(fields)})
+
+    return rows.mapInArrow(run, f"{_types(stacks, keys)}, ny int, nx int, member int, lead double, data array<double>")
 
 
 def decomposed(tensors: DataFrame, levels: int = 6, keys: Sequence[str] = ("case", "t")) -> DataFrame:
