@@ -94,7 +94,7 @@ def kalman_update(background: np.ndarray, observations: np.ndarray, inflate_bg:
     return background + (observations - background) @ gain.T
 
 
-def masked_correction(nowcast: np.ndarray, model: np.ndarray, threshold: float, least_members: int = 1, seed: int = 0) -> np.ndarray:
+def masked_correction(nowcast: np.ndarray, model: np.ndarray, threshold: float, least_members: int = 1, seed: int = 0, inflation: float = 1.0) -> np.ndarray:
     """One correction of a nowcast ensemble by a model ensemble where both have rain; values follow the mix of both distributions."""
     least = float(min(nowcast.min(), model.min()))
     wet = ((nowcast >= threshold).sum(0) >= least_members) & ((model >= threshold).sum(0) >= least_members)
@@ -102,7 +102,7 @@ def masked_correction(nowcast: np.ndarray, model: np.ndarray, threshold: float,
         return nowcast
     p = principal(np.concatenate([nowcast, model]), wet)
     a, b = project(nowcast, p), project(model, p)
-    new = kalman_update(a, b[: len(a)] if len(b) >= len(a) else b[np.arange(len(a)) % len(b)])
+    new = kalman_update(a, b[: len(a)] if len(b) >= len(a) else b[np.arange(len(a)) % len(b)], inflation, inflation)
     field = np.where(wet, back(new, p, nowcast.shape[1:], least), nowcast)
     moved, gap = np.abs(new - a).sum(), np.abs(b[np.arange(len(a)) % len(b)] - a).sum()
     share = float(np.clip(moved / gap if gap else 0.0, 0.0, 1.0))

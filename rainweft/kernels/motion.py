@@ -143,40 +143,62 @@ def _relaxed(p, q, flow, other, lam, gy, gx):
     return m - np.stack([dx * k, dy * k])
 
 
-def variational(frames: np.ndarray, sectors: tuple[int, ...] = (2, 4, 8, 16), gain: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Displacements of ever finer sectors that lessen residual plus roughness, by conjugate-like descent."""
-    a, b = frames[-2], frames[-1]
-    scale = max(a.std(), b.std(), 1e-9)
-    a, b = a / scale, b / scale
-    gy, gx = np.mgrid[0 : a.shape[0], 0 : a.shape[1]].astype(float)
-    start = constant(frames, min(12, min(a.shape) // 3))
-    d = np.stack([c[:1, :1] for c in start])
+def padding(n: int, sectors: tuple[int, ...]) -> tuple[int, int]:
+    """Cells to add before and after a side of ``n`` cells so that every number of sectors divides it."""
+    lacking = -n % int(np.lcm.reduce(np.array(sectors)))
+    return lacking // 2, lacking - lacking // 2
+
+
+def warped(image: np.ndarray, displacement: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An image read at its places plus a displacement (u, v), and the mask of places outside it."""
+    gy, gx = np.mgrid[0 : image.shape[0], 0 : image.shape[1]].astype(float)
+    y, x = gy + displacement[1], gx + displacement[0]
+    outside = (y < 0) | (y > image.shape[0] - 1) | (x < 0) | (x > image.shape[1] - 1)
+    return np.where(outside, 0.0, bilinear(image, y, x, None)), outside
+
+
+def sector_cost(d: np.ndarray, frames: np.ndarray, gain: float, mask: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Mean squared residual plus roughness of sector displacements ``(2, n, m)``, and a descent direction per sector.
+
+    frames: two or three; of three the middle one is compared with both others,
+    read at minus and plus the displacement. Masked cells don't count.
+    """
+    shape = frames.shape[1:]
+    full = np.stack([_resized(c, shape) for c in d])
+    pairs = [(frames[-2], frames[-1], 1.0)] if len(frames) == 2 else [(frames[1], frames[0], -1.0), (frames[1], frames[2], 1.0)]
+    lap = np.stack([_laplace(c) for c in d])
+    cost, grad, size = gain * 1e-3 * float((lap**2).mean()), np.zeros_like(d), np.full_like(d, 1e-3)
+    for a, b, sign in pairs:
+        moved, outside = warped(b, sign * full)
+        keep = ~outside if mask is None else ~outside & ~mask
+        miss = np.where(keep, moved - a, 0.0)
+        cost += float((miss**2).sum() / max(keep.sum(), 1)) / len(pairs)
+        dy, dx = np.gradient(moved)
+        grad += sign * np.stack([_shrunk(miss * dx, d.shape[1:]), _shrunk(miss * dy, d.shape[1:])]) / len(pairs)
+        size += np.stack([_shrunk((dx * dx + dy * dy) * keep, d.shape[1:])] * 2) / len(pairs)
+    return cost, grad / size - gain * 1e-2 * lap
+
+
+def variational(frames: np.ndarray, sectors: tuple[int, ...] = (2, 4, 8, 16), gain: float = 1.0, rounds: int = 60, mask: np.ndarray | None = None) -> np.ndarray:
+    """Displacements of ever finer sectors that lessen residual plus roughness, by descent with falling steps."""
+    frames = frames[-2:] if len(frames) == 2 else frames[-3:]
+    frames = frames / max(frames.std(), 1e-9)
+    shape = frames.shape[1:]
+    d = np.stack([c[:1, :1] for c in constant(frames, min(12, min(shape) // 3))])
     for n in sectors:
         d = np.stack([_resized(c, (n, n)) if c.size > 1 else np.full((n, n), c[0, 0]) for c in d])
         rate = 0.5
-        best = None
+        best, way = sector_cost(d, frames, gain, mask)
         for _ in range(rounds):
-            full = np.stack([_resized(c, a.shape) for c in d])
-            moved = bilinear(b, gy + full[1], gx + full[0], None)
-            miss = moved - a
-            lap = np.stack([_laplace(c) for c in d])
-            cost = (miss**2).mean() + gain * 1e-3 * (lap**2).mean()
-            if best is not None and cost > best[0]:
-                d, rate = best[1].copy(), rate / 2
+            tried = d - rate * way
+            cost, next_way = sector_cost(tried, frames, gain, mask)
+            if cost < best:
+                d, best, way = tried, cost, next_way
+            else:
+                rate /= 2
                 if rate < 1e-3:
                     break
-                full = np.stack([_resized(c, a.shape) for c in d])
-                moved = bilinear(b, gy + full[1], gx + full[0], None)
-                miss = moved - a
-                lap = np.stack([_laplace(c) for c in d])
-            else:
-                best = (cost, d.copy())
-            dy, dx = np.gradient(moved)
-            grad = np.stack([_shrunk(miss * dx, (n, n)), _shrunk(miss * dy, (n, n))])
-            size = np.stack([_shrunk(dx * dx + dy * dy, (n, n))] * 2) + 1e-3
-            d = d - rate * (grad / size - gain * 1e-2 * lap)
-        d = best[1]
-    return np.stack([_resized(c, a.shape) for c in d])
+    return np.stack([_resized(c, shape) for c in d])
 
 
 def _laplace(c: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainweft.kernels import assimilation, features, masks, motion, nowcast, spectral
+from rainweft.kernels import assimilation, combined, features, masks, motion, nowcast, spectral
 
 
 def frame_stacks(tensors: DataFrame, n: int, keys: Sequence[str] = ("case",)) -> DataFrame:
@@ -224,6 +224,86 @@ def blended_steps(stacks: DataFrame, flows: DataFrame, models: DataFrame, leads:
     return rows.mapInArrow(run, f"{_types(stacks, keys)}, member int, ny int, nx int, lead double, data array<double>")
 
 
+def blended_forecast(
+    stacks: DataFrame, flows: DataFrame, models: DataFrame, leads: Sequence[float], threshold: float, members: int = 1, seed: int = 1, keys: Sequence[str] = ("case",), together: int = TOGETHER, blend_all: bool = False, options: dict | None = None, **how
+) -> DataFrame:
+    """``(keys..., member, lead, ny, nx, data)``: nowcast, models and noise blended scale by scale.
+
+    models is ``(keys..., model, step, data)`` with step 0 at the time of the last
+    frame; their flows are estimated from the first two steps. Each member takes
+    one model in turn, or all with ``blend_all``. Members go to tasks in groups
+    that share decompositions and skills. options: fields of the shared part
+    (levels, order, climatology, weights_method, ...), how: of the members.
+    """
+    seeds = np.random.RandomState(seed).randint(0, 2**31 - 1, members).tolist()
+    packed = F.array_sort(F.collect_list(F.struct("model", "step", "data")))
+    runs = models.groupBy(*keys).agg(packed.alias("runs"))
+    groups = F.explode(F.sequence(F.lit(0), F.lit(max(members - 1, 0) // together)))
+    rows = stacks.join(flows.select(*keys, "u", "v"), list(keys)).join(runs, list(keys)).withColumn("part", groups).repartition(*keys, "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(_rasters(b)):
+                shape = s.shape[1:]
+                velocity = np.stack([np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False), float).reshape(shape) for c in "uv"])
+                cells = b.column("runs")[i].values
+                model, data = cells.field(0).to_numpy(), cells.field(2)
+                flat = np.stack([np.asarray(data[k].values.to_numpy(zero_copy_only=False), float).reshape(shape) for k in range(len(data))])
+                nwp = np.stack([flat[model == m] for m in np.unique(model)])
+                low = np.nanmin(nwp) if np.isfinite(nwp).any() else 0.0
+                own_flows = np.stack([motion.dense_lucas_kanade(np.nan_to_num(m[:2], nan=low)) if len(m) > 1 else velocity for m in nwp])
+                shared = combined.Blend(s, nwp, velocity, own_flows, threshold, **(options or {}))
+                first = b.column("part")[i].as_py() * together
+                of = combined.members_of(members, len(nwp), blend_all)
+                for m in range(first, min(first + together, members)):
+                    got = combined.blended_member(shared, list(leads), seeds[m], of[m], **how)
+                    yield _emit(b, [i] * len(leads), [*keys, "ny", "nx"], {"member": pa.array([m] * len(leads), pa.int32()), "lead": [float(x) for x in leads], "data": _lists(got)})
+
+    return rows.mapInArrow(run, f"{_types(stacks, keys)}, ny int, nx int, member int, lead double, data array<double>")
+
+
+def model_skills(stacks: DataFrame, flows: DataFrame, models: DataFrame, threshold: float, keys: Sequence[str] = ("case",), levels: int = 6) -> DataFrame:
+    """``(keys..., model, level, skill)``: how each model agrees with the last frame, for a store of daily skills.
+
+    models is ``(keys..., model, data)``, one field each at the time of the last frame.
+    """
+    rows = models.select(*keys, "model", "data").join(stacks, list(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (s, m) in enumerate(zip(_rasters(b), _rasters(b, "data"))):
+                weights = spectral.band_weights(s.shape[1:], levels)
+                first, second = (spectral.decompose(np.nan_to_num(f, nan=np.nanmin(f) if np.isfinite(f).any() else 0.0), weights)[0] for f in (m[0], s[-1]))
+                skill = combined.level_skill(first, second)
+                yield _emit(b, [i] * levels, [*keys, "model"], {"level": pa.array(range(levels), pa.int32()), "skill": skill.tolist()})
+
+    return rows.select(*keys, "model", "ny", "nx", "data", "stack").mapInArrow(run, f"{_types(stacks, keys)}, model {models.schema['model'].dataType.simpleString()}, level int, skill double")
+
+
+def kalman_forecast(stacks: DataFrame, flows: DataFrame, models: DataFrame, leads: Sequence[int], threshold: float, members: int, seed: int = 1, keys: Sequence[str] = ("case",), **how) -> DataFrame:
+    """``(keys..., member, lead, ny, nx, data)``: a nowcast ensemble corrected by model members as it goes.
+
+    models is ``(keys..., model, step, data)``. The correction needs all members
+    of a case at once, so a case is one row, whatever the archive holds.
+    """
+    packed = F.array_sort(F.collect_list(F.struct("step", "model", "data")))
+    rows = stacks.join(flows.select(*keys, "u", "v"), list(keys)).join(models.groupBy(*keys).agg(packed.alias("runs")), list(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(_rasters(b)):
+                shape = s.shape[1:]
+                velocity = np.stack([np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False), float).reshape(shape) for c in "uv"])
+                cells = b.column("runs")[i].values
+                step, data = cells.field(0).to_numpy(), cells.field(2)
+                flat = np.stack([np.asarray(data[k].values.to_numpy(zero_copy_only=False), float).reshape(shape) for k in range(len(data))])
+                got = combined.kalman_forecast(s, velocity, {int(t): flat[step == t] for t in np.unique(step)}, list(leads), threshold, members, seed, **how)
+                for m in range(members):
+                    yield _emit(b, [i] * len(leads), [*keys, "ny", "nx"], {"member": pa.array([m] * len(leads), pa.int32()), "lead": [float(x) for x in leads], "data": _lists(got[m])})
+
+    return rows.mapInArrow(run, f"{_types(stacks, keys)}, ny int, nx int, member int, lead double, data array<double>")
+
+
 def kalman_corrected(first: DataFrame, second: DataFrame, threshold: float, keys: Sequence[str] = ("case",), seed: int = 1) -> DataFrame:
     """Nowcast members corrected by model members: ``(keys..., member, ny, nx, data)``.
 

@@ -141,6 +141,27 @@ def _nwp_stack(s, d):
 add("blending_steps", lambda s, d: summary(P.blended_steps(stacks(s, d), flows(s, d), _nwp_stack(s, d), [1, 2, 3], -10.0, (0.95, 0.9, 0.7, 0.5, 0.3, 0.1), members=3)))
 
 
+def _runs(s, d, steps: int = 4, models: int = 2):
+    """Model fields of the case's own frame and the ones after it, of two models a frame apart."""
+    daily = _daily(model(s, d))
+    out = None
+    for m in range(models):
+        for k in range(steps):
+            part = daily.select((F.col("t") - k - m).alias("case"), F.lit(m).alias("model"), F.lit(k).alias("step"), "data")
+            out = part if out is None else out.unionAll(part)
+    return out.where("case >= 2 and case < 26")
+
+
+def _cases(df):
+    return df.where("case >= 2 and case < 26")
+
+
+add("blending_steps_full", lambda s, d: summary(P.blended_forecast(_cases(stacks(s, d)), flows(s, d), _runs(s, d), [1, 2, 2.5], -10.0, members=3)))
+add("blending_steps_spn", lambda s, d: summary(P.blended_forecast(_cases(stacks(s, d)), flows(s, d), _runs(s, d), [1, 2, 3], -10.0, members=2, blend_all=True, options={"weights_method": "spn"}, full_model_from=2)))
+add("model_skills", lambda s, d: P.model_skills(_cases(stacks(s, d)), None, _runs(s, d).where("step = 0").drop("step"), -10.0).groupBy("model", "level").agg(F.avg("skill").alias("skill")))
+add("enkf_forecast", lambda s, d: summary(P.kalman_forecast(_cases(stacks(s, d)), flows(s, d), _runs(s, d).where("step > 0"), [1, 2, 3], -10.0, members=4)))
+
+
 def _enkf(s, d):
     a = G.to_tensor(ens(s, d).withColumnRenamed("t", "case"), ("case", "member"))
     b = G.to_tensor(lagged_ensemble(model(s, d), 5).withColumnRenamed("t", "case"), ("case", "member"))

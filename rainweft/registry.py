@@ -18,7 +18,7 @@ _BUILT_IN: dict[str, dict[str, Callable]] = {
     "motion": dict(motion.METHODS),
     "nowcast": dict(nowcast.METHODS),
     "feature": {"blob": features.blobs, "shitomasi": features.corners, "tstorm": features.storm_cells},
-    "blending": {"linear_blending": blending.linear_blend, "salient_blending": blending.salient_blend, "steps": forecast.blended_steps, "pca_enkf": forecast.kalman_corrected},
+    "blending": {"linear_blending": blending.linear_blend, "salient_blending": blending.salient_blend, "steps": forecast.blended_forecast, "pca_enkf": forecast.kalman_forecast},
     "cascade": {"fft": forecast.decomposed},
     "downscaling": {"rainfarm": forecast.downscaled},
     "ensemblestat": {"mean": ensemble.ensemble_mean, "excprob": ensemble.exceedance, "banddepth": ensemble.band_depth},
