@@ -20,6 +20,19 @@ class Settings:
     outputs: dict = field(default_factory=dict)
 
 
+    def __getitem__(self, name: str):
+        return getattr(self, name)
+
+    def __setitem__(self, name: str, value) -> None:
+        if name not in {f.name for f in fields(self)}:
+            raise KeyError(name)
+        setattr(self, name, value)
+
+
+#: Types that a settings file may hold, by name.
+SCHEMA = {"silent_import": bool, "data_sources": dict, "outputs": dict}
+
+
 def candidates() -> list[Path]:
     """Places of the settings file, first found counts."""
     named = os.environ.get("RAINWEFTRC")
@@ -35,6 +48,9 @@ def load(path: str | Path | None = None) -> Settings:
     unknown = set(raw) - {f.name for f in fields(Settings)}
     if unknown:
         raise DataModelError(f"unknown settings {sorted(unknown)}")
+    wrong = [k for k, v in raw.items() if not isinstance(v, SCHEMA[k])]
+    if wrong:
+        raise DataModelError(f"settings of the wrong type: {sorted(wrong)}")
     return Settings(**raw)
 
 

@@ -75,11 +75,20 @@ def eulerian(frames, velocity, leads, **_):
     return np.stack([frames[-1]] * len(leads))
 
 
+def _enough(frames: np.ndarray, velocity: np.ndarray, least: int) -> None:
+    """Frames (t, y, x) and a flow (2, y, x) of one shape, as many frames as a method needs."""
+    if frames.ndim != 3 or velocity.shape != (2, *frames.shape[1:]):
+        raise ValueError(f"frames of shape {frames.shape} and a flow of shape {velocity.shape} don't belong together")
+    if len(frames) < least:
+        raise ValueError(f"{least} frames are needed, there are {len(frames)}")
+
+
 def prepared(frames: np.ndarray, velocity: np.ndarray, threshold: float, levels: int = 6, order: int = 2, noise: str | None = "nonparametric", window: int = 0, adjust: bool = False) -> dict | None:
     """What all members of a case share: aligned and decomposed frames, autoregression, noise texture. None where it is dry.
 
     adjust: noise of each level is scaled so that rain made of it varies like the field.
     """
+    _enough(frames, velocity, order + 1)
     outside = ~np.isfinite(frames).all(0)
     frames, least = _filled(frames[-(order + 1) :])
     if not (frames > threshold).any():
@@ -217,6 +226,7 @@ def anvil(frames, velocity, leads, threshold, radius: float = 50.0, levels: int
     integrated liquid and the result is rain rate by a regression in a moving
     window, never below 0; else never below the minimum.
     """
+    _enough(frames, velocity, order + 2)
     frames, least = _filled(frames[-(order + 2) :])
     moved, _ = _filled(aligned(frames, velocity))
     weights = S.band_weights(moved.shape[1:], levels)
@@ -256,6 +266,7 @@ def linda(frames, velocity, leads, threshold, seed=None, features: int = 20, ord
     Every feature has its own coefficients, and two kernels: one that smooths the
     change from step to step, one the field. Both are fitted on the last frames.
     """
+    _enough(frames, velocity, order + 2)
     frames, least = _filled(frames[-(order + 3) :])
     moved, _ = _filled(aligned(frames, velocity))
     moved = moved - least

@@ -120,6 +120,19 @@ def decomposed(tensors: DataFrame, levels: int = 6, keys: Sequence[str] = ("case
     return tensors.select(*keys, "ny", "nx", "data").mapInArrow(run, f"{_types(tensors, keys)}, ny int, nx int, level int, mu double, sigma double, data array<double>")
 
 
+def spectral_lags(stacks: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("case",)) -> DataFrame:
+    """``(keys..., lag, gamma)``: correlation of a stack's last frame with earlier ones, from their half spectra."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(_rasters(b)):
+                half = np.fft.rfft2(s)
+                got = [spectral.spectral_corr(half[-1], half[-1 - k], s.shape[1:]) for k in lags]
+                yield _emit(b, [i] * len(got), keys, {"lag": pa.array(list(lags), pa.int32()), "gamma": pa.array(got, pa.float64())})
+
+    return stacks.select(*keys, "ny", "nx", "stack").mapInArrow(run, f"{_types(stacks, keys)}, lag int, gamma double")
+
+
 def radial_spectra(tensors: DataFrame, keys: Sequence[str] = ("case", "t")) -> DataFrame:
     """``(keys..., k, freq, power)``."""
 

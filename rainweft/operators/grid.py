@@ -80,6 +80,28 @@ def aggregate_space(cells: DataFrame, ny: int, nx: int, method: str = "mean", ig
     return cells.groupBy("t", (F.col("y") / ny).cast("int").alias("y"), (F.col("x") / nx).cast("int").alias("x")).agg(agg(F.col("v")).alias("v"))
 
 
+_METHODS = {
+    "mean": strict_avg, "sum": strict_sum, "nanmean": F.avg, "nansum": F.sum, "min": F.min, "max": F.max, "median": lambda v: F.percentile(v, 0.5),
+}
+
+
+def aggregate_fields(cells: DataFrame, windows: dict[str, int], method: str = "mean", trim: bool = False, sizes: dict[str, int] | None = None) -> DataFrame:
+    """Blocks along any of t, y and x; each axis counts blocks from 0.
+
+    mean and sum are null as soon as a cell is, the nan- forms, min, max and
+    median skip missing cells. sizes: lengths of the axes; a window that doesn't
+    divide its axis is an error, with ``trim`` the cells of the rest are left out.
+    """
+    if method not in _METHODS:
+        raise ValueError(f"unknown method {method}; there are {sorted(_METHODS)}")
+    for axis, n in windows.items():
+        if sizes and axis in sizes:
+            whole = check_divides(sizes[axis], n, trim)
+            cells = cells.where(F.col(axis) < whole * n)
+    block = [(F.floor(F.col(a) / windows[a]).cast("int") if a in windows else F.col(a)).alias(a) for a in ("t", "y", "x")]
+    return cells.groupBy(*block).agg(_METHODS[method](F.col("v")).alias("v"))
+
+
 def check_divides(length: int, window: int, trim: bool = False) -> int:
     """Number of whole windows; unless ``trim``, the window must divide the length."""
     if window <= 0 or (length % window and not trim):

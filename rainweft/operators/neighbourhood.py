@@ -47,6 +47,33 @@ def opening(cells: DataFrame, thr: float, size: int = 3, keys: Sequence[str] = (
     return opened.select(*keys, "y", "x", F.when((F.col("w0") == 1) & (F.col("w") == 0), F.col("least")).otherwise(F.col("v")).alias("v"))
 
 
+def ellipse_offsets(size: int) -> list[tuple[int, int]]:
+    """Places of an ellipse in a square of ``size`` cells, row by row; of three cells it is a cross."""
+    c, r = size // 2, size // 2
+    out = []
+    for i in range(size):
+        dy = i - r
+        dx = int(round(c * ((r * r - dy * dy) / (r * r)) ** 0.5)) if r and abs(dy) <= r else 0
+        out += [(dy, j - c) for j in range(max(c - dx, 0), min(c + dx + 1, size))]
+    return out
+
+
+def elliptic_opening(cells: DataFrame, thr: float, size: int = 3, keys: Sequence[str] = ("t",)) -> DataFrame:
+    """As ``opening`` with an ellipse; what lies outside the raster erodes nothing."""
+    at = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ellipse_offsets(size)])
+    wet = F.when(F.coalesce(F.col("v") > thr, F.lit(False)), 1).otherwise(0)
+    marked = cells.select(*keys, "y", "x", "v", wet.alias("w"))
+
+    def spread(source: DataFrame, value: str, agg, name: str) -> DataFrame:
+        moved = source.withColumn("o", F.explode(at))
+        return moved.groupBy(*keys, (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x")).agg(agg(value).alias(name))
+
+    eroded = marked.join(spread(marked.select(*keys, "y", "x", "w"), "w", F.min, "e"), [*keys, "y", "x"])
+    opened = eroded.join(spread(eroded.select(*keys, "y", "x", "e"), "e", F.max, "o_"), [*keys, "y", "x"])
+    least = cells.groupBy(*keys).agg(F.min("v").alias("least"))
+    return opened.join(least, list(keys)).select(*keys, "y", "x", F.when((F.col("w") == 1) & (F.col("o_") == 0), F.col("least")).otherwise(F.col("v")).alias("v"))
+
+
 def disc_offsets(radius: float) -> list[tuple[int, int]]:
     r = int(radius)
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= radius * radius]

@@ -42,6 +42,23 @@ def global_outliers_2d(points: DataFrame, thr: float, a: str = "u", b: str = "v"
     return points.withColumn("outlier", F.when(det > 0, F.sqrt(d2) > thr).otherwise(F.lit(False)))
 
 
+def global_outliers_nd(points: DataFrame, thr: float, values: Sequence[str]) -> DataFrame:
+    """Marks points by their Mahalanobis distance over any number of values; a singular covariance marks none.
+
+    Means and covariances are one aggregate; the inverse is of as many rows as there are values.
+    """
+    k = len(values)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = points.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)], *[F.covar_samp(values[i], values[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    c = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] if row[f"c{min(i, j)}_{max(i, j)}"] is not None else np.nan for j in range(k)] for i in range(k)], float)
+    if not np.isfinite(c).all() or np.linalg.matrix_rank(c) < k:
+        return points.withColumn("outlier", F.lit(False))
+    inverse = np.linalg.inv(c)
+    d = [F.col(v) - F.lit(float(row[f"m{i}"])) for i, v in enumerate(values)]
+    d2 = sum((d[i] * d[j] * float(inverse[i, j]) for i in range(k) for j in range(k)), F.lit(0.0))
+    return points.withColumn("outlier", F.coalesce(F.sqrt(F.greatest(d2, F.lit(0.0))) > thr, F.lit(False)))
+
+
 def neighbours(points: DataFrame, targets: DataFrame, reach: float, target_keys: Sequence[str]) -> DataFrame:
     """Pairs of a target and the points within ``reach`` of it, by buckets of that side.
 

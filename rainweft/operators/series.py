@@ -143,7 +143,8 @@ def _windowed(own: DataFrame, names: Sequence[str], radius: float, keys: Sequenc
         spread = own.withColumn("_k", F.explode(steps)).withColumn("_w", weight).withColumn(axis, F.col(axis) + F.col("_k"))
         own = spread.groupBy(*keys, "y", "x").agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in names])
         inside = F.col(axis).between(F.col("_lo"), F.col("_hi"))
-        own = (own.join(ends, list(keys)) if keys else own.crossJoin(F.broadcast(ends))).where(inside).drop("_lo", "_hi")  # ends: one row per key
+        own = own.join(ends, list(keys)) if keys else own.withColumn("_lo", ends.select("_lo").scalar()).withColumn("_hi", ends.select("_hi").scalar())
+        own = own.where(inside).drop("_lo", "_hi")
     return own
 
 

@@ -17,6 +17,13 @@ def cell_table(labels: DataFrame, field: DataFrame) -> DataFrame:
     return j.groupBy("t", "id").agg(F.bround(F.avg("y")).cast("int").alias("cen_y"), F.bround(F.avg("x")).cast("int").alias("cen_x"), F.max("v").alias("max_ref"), F.count("*").alias("area"))
 
 
+def cell_profiles(labels: DataFrame, field: DataFrame) -> DataFrame:
+    """``cell_table`` with the places ``ys`` and ``xs`` of each cell's pixels, row by row."""
+    p = F.array_sort(F.collect_list(F.struct("y", "x")))
+    places = labels.groupBy("t", "id").agg(F.transform(p, lambda c: c["y"]).alias("ys"), F.transform(p, lambda c: c["x"]).alias("xs"))
+    return cell_table(labels, field).join(places, ["t", "id"])
+
+
 def advect_cells(labels: DataFrame, flow: DataFrame, ny: int, nx: int) -> DataFrame:
     """Pixels of each cell moved by the rounded mean flow under it, kept inside the raster, to the next frame."""
     j = labels.join(flow, ["y", "x"])

@@ -31,6 +31,7 @@ ZR = (200.0, 1.6)
 CLOSE = 0.02  # log10 units: readings so near are no decision
 TOLERANCE = 0.01  # log10 units: a larger misfit is never unique
 CONTRADICTION, SILENCE = 3.0, 0.5  # of a reading against a statement; of a transform that nobody mentions beside a stated unit
+LEAST_SPREAD = 0.3  # log10 units of the usual levels of a source
 LEVEL = 0.01  # weight of the squared distance from the usual level, which decides ties only
 TIMES = (1.0, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 7.5, 10.0, 12.0, 15.0, 20.0, 30.0, 60.0)  # minutes tried where nobody states them
 
@@ -253,10 +254,11 @@ def references(stated: DataFrame, sources: DataFrame) -> DataFrame:
     names = ["floor", "level", "spread", *[f"gap_{t}" for t in TRANSFORMS]]
     own = s.groupBy("source", "institution").agg(*measures)
     peers = s.groupBy("institution").agg(*measures).select(F.col("institution").alias("_i"), *[F.col(c).alias(f"_{c}") for c in names])
-    every = s.agg(*measures).select(*[F.col(c).alias(f"__{c}") for c in names])
-    joined = own.join(peers, own["institution"].eqNullSafe(F.col("_i")), "left").join(every, F.lit(True), "left")
-    least = {"spread": 0.3}
-    return joined.select("source", *[F.greatest(F.lit(least.get(c)), F.coalesce(c, f"_{c}", f"__{c}")).alias(c) if c in least else F.coalesce(c, f"_{c}", f"__{c}").alias(c) for c in names])
+    every = s.agg(*measures)
+    joined = own.join(peers, own["institution"].eqNullSafe(F.col("_i")), "left")
+    known = {c: F.coalesce(c, f"_{c}", every.select(c).scalar()) for c in names}
+    known["spread"] = F.greatest(F.lit(LEAST_SPREAD), known["spread"])
+    return joined.select("source", *[v.alias(c) for c, v in known.items()])
 
 
 _RESULT = "frame_id bigint, source string, unit string, transform string, unit_stated boolean, minutes double, zr_a double, zr_b double, misfit double, unique boolean, peak double, above boolean"

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rainweft.operators import analysis as Y
 from rainweft.operators import blending as B
 from rainweft.operators import forecast as P
 from rainweft.operators import grid as G
 from rainweft.operators import joins as J
+from rainweft.operators import neighbourhood as H
 from rainweft.operators import objects as O
 from rainweft.operators import reprojection as X
+from rainweft.operators import scattered as S
 from rainweft.operators import series as A
 from rainweft.operators import tracking as K
 from rainweft.operators import verification as V
 from rainweft.operators.ensemble import lagged_ensemble
-from rainweft.plans.common import ENS_SQL, FLOW_SQL, MODEL_SQL, OBS_SQL, PAIR_SQL, N, ens, flow, model, obs, pairs, read, rounded
-from rainweft.plans.forecasts import tensors
+from rainweft.plans.common import ENS_SQL, FLOW_SQL, MODEL_SQL, OBS_SQL, PAIR_SQL, PTS_SQL, N, ens, flow, model, obs, pairs, points, read, rounded
+from rainweft.plans.forecasts import plain, tensors
 from rainweft.plans.scores import _round6
 
 QUERIES: dict = {}
@@ -220,3 +223,23 @@ add("rainfarm_smoothed", lambda s, d: P.downscaled(_MASKS(s, d).withColumn("data
 _SRC = {"projection": "+proj=merc +lon_0=0", "x1": 0.0, "y1": 0.0, "xpixelsize": 1000.0, "ypixelsize": 1000.0, "yorigin": "upper"}
 _DST = {"projection": "+proj=merc +lon_0=0", "x1": -1700.0, "y1": 5200.0, "xpixelsize": 1500.0, "ypixelsize": 2500.0, "yorigin": "lower"}
 add("reproject_grids", lambda s, d: G.to_cells(X.reproject_grids(G.to_tensor(obs(s, d)), _SRC, _DST, (12, 20))), f"with {OBS_SQL}, g as (select cast(a.range as integer) y, cast(b.range as integer) x, 31 - floor((5200 + (a.range + 0.5) * 2500) / 1000) sy, floor((-1700 + (b.range + 0.5) * 1500) / 1000) sx from range(12) a, range(20) b), f as (select distinct t from obs) select f.t, g.y, g.x, o.v from f cross join g left join obs o on o.t = f.t and o.y = g.sy and o.x = g.sx")
+
+
+# -- further aggregates and analyses
+
+_HOLES = lambda s, d: obs(s, d).withColumn("v", F.when(F.col("v") > 5, F.col("v")))
+_HSQL = f"{OBS_SQL}, holes as (select t, y, x, case when v > 5 then v end v from obs)"
+add("aggregate_fields_nanmean", lambda s, d: G.aggregate_fields(_HOLES(s, d), {"t": 3, "x": 4}, "nanmean"), f"with {_HSQL} select cast(t // 3 as integer) t, y, cast(x // 4 as integer) x, ROUND6(avg(v)) v from holes group by 1, 2, 3")
+add("aggregate_fields_sum", lambda s, d: G.aggregate_fields(_HOLES(s, d), {"y": 2, "x": 2}, "sum"), f"with {_HSQL} select t, cast(y // 2 as integer) y, cast(x // 2 as integer) x, case when count(v) = 4 then ROUND6(sum(v)) end v from holes group by 1, 2, 3")
+add("aggregate_fields_trimmed", lambda s, d: G.aggregate_fields(obs(s, d), {"y": 5, "x": 5}, "median", True, {"y": N, "x": N}), f"with {OBS_SQL} select t, cast(y // 5 as integer) y, cast(x // 5 as integer) x, ROUND6(median(v)) v from obs where y < 30 and x < 30 group by 1, 2, 3")
+_ELL = ", ".join(f"({a}, {b})" for a, b in H.ellipse_offsets(5))
+add("elliptic_opening", lambda s, d: H.elliptic_opening(obs(s, d), 1.0, 5), f"with {OBS_SQL}, k(dy, dx) as (values {_ELL}), w as (select t, y, x, v, case when v > 1 then 1 else 0 end w from obs), e as (select a.t, a.y, a.x, min(b.w) e from w a, k, w b where b.t = a.t and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3), o as (select a.t, a.y, a.x, max(b.e) o from e a, k, e b where b.t = a.t and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3) select w.t, w.y, w.x, ROUND6(case when w.w = 1 and o.o = 0 then min(w.v) over (partition by w.t) else w.v end) v from w join o using (t, y, x)")
+add("outliers_nd", lambda s, d: S.global_outliers_nd(points(s, d), 2.0, ["u", "v"]).select("id", "outlier"), f"with {PTS_SQL}, g as (select avg(u) ma, avg(v) mb, var_samp(u) va, var_samp(v) vb, covar_samp(u, v) c from pts) select id, sqrt((vb * (u - ma) ** 2 - 2 * c * (u - ma) * (v - mb) + va * (v - mb) ** 2) / (va * vb - c * c)) > 2 outlier from pts, g")
+add("cell_profiles", lambda s, d: K.cell_profiles(_LABELS(s, d), obs(s, d)).select("t", "id", "cen_y", "cen_x", "max_ref", "area", F.array_join("ys", " ").alias("ys"), F.array_join("xs", " ").alias("xs")), f"with {OBS_SQL}, lab as (select t, y, x, v, cast(y // 8 * 4 + x // 8 + 1 as integer) id from obs where v > 30) select t, id, cast(round_even(avg(y), 0) as integer) cen_y, cast(round_even(avg(x), 0) as integer) cen_x, ROUND6(max(v)) max_ref, count(*) area, string_agg(y, ' ' order by y, x) ys, string_agg(x, ' ' order by y, x) xs from lab group by 1, 2")
+add("lag_correlation_spectral", lambda s, d: P.spectral_lags(P.rolling_stacks(plain(s, d).drop("case"), 3), (1, 2)), f'with {OBS_SQL} select a.t as "case", cast(a.t - b.t as integer) lag, ROUND6(corr(a.v, b.v)) gamma from obs a join obs b on a.y = b.y and a.x = b.x and b.t between a.t - 2 and a.t - 1 where a.t >= 2 group by 1, 2')
+_FLOWS = lambda s, d: obs(s, d).select("t", "y", "x", (F.col("v") / 10 + 1).alias("u"), F.sin(F.col("t") + F.col("y")).alias("v"))
+_FSQL = f"{OBS_SQL}, f as (select t, y, x, v / 10 + 1 u, sin(t + y) v from obs), e as (select b.t - a.t lag, ((b.u - a.u) * a.u + (b.v - a.v) * a.v) / sqrt(a.u ** 2 + a.v ** 2) a, ((b.v - a.v) * a.u - (b.u - a.u) * a.v) / sqrt(a.u ** 2 + a.v ** 2) b from f a join f b on a.y = b.y and a.x = b.x and b.t - a.t in (1, 3, 6))"
+add("velocity_errors", lambda s, d: Y.velocity_deviations(Y.velocity_errors(_FLOWS(s, d), (1, 3, 6))), f"with {_FSQL} select cast(lag as integer) lag, ROUND6(stddev_pop(a)) par, ROUND6(stddev_pop(b)) perp from e group by 1")
+add("value_classes", lambda s, d: Y.value_classes(obs(s, d), Y.CLASSES["mm/h"]).groupBy("t", "class").agg(F.count("*").alias("n")), f"with {OBS_SQL} select t, cast(len(list_filter([{', '.join(map(str, Y.CLASSES['mm/h']))}]::double[], lambda q: q <= v)) as integer) as class, count(*) n from obs group by 1, 2")
+add("flow_arrows", lambda s, d: Y.arrows(flow(s), 8), f"with {FLOW_SQL} select y, x, u, v, ROUND6(sqrt(u * u + v * v)) speed, ROUND6(degrees(atan2(v, u))) direction from flow where y % 8 = 4 and x % 8 = 4")
+add("even_steps", lambda s, d: Y.even_steps(read(s, d, "radar_frames").select("source", "ts").distinct(), "ts", ["source"]), "with f as (select distinct source, ts from radar_frames), g as (select source, epoch(ts) - epoch(lag(ts) over (partition by source order by ts)) g from f) select source, cast(min(g) as bigint) step, min(g) = max(g) as even from g group by source")

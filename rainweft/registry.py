@@ -6,8 +6,8 @@ from collections.abc import Callable
 from importlib.metadata import entry_points
 
 from rainweft.functions import transforms as T
-from rainweft.kernels import features, motion, nowcast
-from rainweft.operators import blending, ensemble, forecast, grid, ranks, scattered, verification
+from rainweft.kernels import advection, features, motion, nowcast, spectral
+from rainweft.operators import blending, ensemble, forecast, grid, objects, ranks, reprojection, scattered, tracking, verification
 from rainweft.sources import rasters, sinks
 
 GROUP = "rainweft.plugins"
@@ -20,17 +20,21 @@ _BUILT_IN: dict[str, dict[str, Callable]] = {
     "feature": {"blob": features.blobs, "shitomasi": features.corners, "tstorm": features.storm_cells},
     "blending": {"linear_blending": blending.linear_blend, "salient_blending": blending.salient_blend, "steps": forecast.blended_forecast, "pca_enkf": forecast.kalman_forecast},
     "cascade": {"fft": forecast.decomposed},
+    "filter": {"gaussian": spectral.band_weights, "uniform": spectral.uniform_weights},
+    "noise": {"parametric": spectral.power_law_filter, "nonparametric": spectral.field_filter, "ssft": spectral.local_filters, "nested": spectral.nested_filters, "bps": nowcast.velocity_perturbation},
+    "tracking": {"lucaskanade": forecast.motion_fields, "tdating": tracking.tracks},
+    "extrapolation": {"semilagrangian": advection.extrapolate, "eulerian": nowcast.eulerian, "none": None},
     "downscaling": {"rainfarm": forecast.downscaled},
     "ensemblestat": {"mean": ensemble.ensemble_mean, "excprob": ensemble.exceedance, "banddepth": ensemble.band_depth},
     "diagnostic": {},
     "interpolation": {"idwinterp2d": scattered.idw, "rbfinterp2d": scattered.rbf},
     "utils": {
         "mm/h": T.to_rainrate, "rainrate": T.to_rainrate, "mm": T.to_raindepth, "raindepth": T.to_raindepth, "dbz": T.to_reflectivity, "reflectivity": T.to_reflectivity, "db": T.db_transform, "decibel": T.db_transform,
-        "boxcox": T.boxcox_transform, "log": T.boxcox_transform, "sqrt": T.sqrt_transform, "nqt": ranks.normal_scores, "accumulate": grid.aggregate_time, "upscale": grid.aggregate_space, "clip": grid.clip_domain, "square": grid.square_domain, "rapsd": forecast.radial_spectra,
+        "boxcox": T.boxcox_transform, "log": T.boxcox_transform, "sqrt": T.sqrt_transform, "nqt": ranks.normal_scores, "accumulate": grid.aggregate_time, "upscale": grid.aggregate_space, "clip": grid.clip_domain, "square": grid.square_domain, "rapsd": forecast.radial_spectra, "reprojection": reprojection.reproject_grids,
     },
     "deterministic": {k: verification.categorical_scores for k in ("acc", "bias", "csi", "ets", "f1", "fa", "far", "gss", "hk", "hss", "mcc", "pod", "sedi")}
     | {k: verification.continuous_scores for k in ("beta", "beta1", "beta2", "corr_p", "drmse", "mae", "mse", "me", "nmse", "rmse", "rv")}
-    | {"corr_s": verification.spearman, "scatter": verification.scatter, "binary_mse": verification.binary_mse_scores, "fss": verification.fss_scores},
+    | {"corr_s": verification.spearman, "scatter": verification.scatter, "binary_mse": verification.binary_mse_scores, "fss": verification.fss_scores, "sal": objects.sal, "intensity_scale": verification.intensity_scale},
     "ensemble": {"ens_skill": verification.ensemble_skill, "ens_spread": verification.ensemble_spread, "rankhist": verification.rank_histogram},
     "probabilistic": {"crps": verification.crps_state, "reldiag": verification.reliability, "roc": verification.roc_curve},
 }
