@@ -68,12 +68,15 @@ def percentile_mask(cells: DataFrame, share: float, keys: Sequence[str] = ("t",)
     return r.select(*keys, "y", "x", F.when((F.col("r") <= F.floor(F.col("n") * share)) & F.col("v").isNotNull(), 1).otherwise(0).alias("mask"))
 
 
-def resample(first: DataFrame, second: DataFrame, share: float, seed: int = 42, keys: Sequence[str] = ("t",)) -> DataFrame:
-    """``(keys, rank, v)``: both sorted downward; each rank takes the first with probability ``share``, by a seeded hash."""
+def resample(first: DataFrame, second: DataFrame, share: float, seed: int = 42, keys: Sequence[str] = ("t",), draw: Column | None = None) -> DataFrame:
+    """``(keys, rank, v)``: both sorted downward; each rank takes the first with probability ``share``.
+
+    draw: numbers from 0 to 1 over keys and rank, a seeded hash of them by default.
+    """
     w = Window.partitionBy(*keys)
     a = first.select(*keys, F.row_number().over(w.orderBy(F.desc("v"), "y", "x")).alias("rank"), F.col("v").alias("a"))
     b = second.select(*keys, F.row_number().over(w.orderBy(F.desc("v"), "y", "x")).alias("rank"), F.col("v").alias("b"))
-    draw = F.pmod(F.xxhash64(*keys, "rank", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
+    draw = F.pmod(F.xxhash64(*keys, "rank", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24) if draw is None else draw
     j = a.join(b, [*keys, "rank"]).select(*keys, "rank", F.when(draw < share, F.col("a")).otherwise(F.col("b")).alias("v"))
     return j.select(*keys, F.row_number().over(w.orderBy(F.desc("v"), "rank")).alias("rank"), "v")
 

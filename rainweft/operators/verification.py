@@ -36,8 +36,8 @@ def ratio(a: Column, b: Column) -> Column:
 # -- categorical ----------------------------------------------------------------------------------
 
 
-def contingency_state(pairs: DataFrame, thr: float, keys: Sequence[str] = ()) -> DataFrame:
-    """hits, misses, false alarms and correct rejections; a missing value is no event."""
+def contingency_state(pairs: DataFrame, thr: float | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """hits, misses, false alarms and correct rejections; a missing value is no event. thr may be a column, for several at once."""
     p, o = F.coalesce(F.col("p") > thr, F.lit(False)), F.coalesce(F.col("o") > thr, F.lit(False))
     return pairs.groupBy(*keys).agg(_sum_if(p & o).alias("h"), _sum_if(~p & o).alias("m"), _sum_if(p & ~o).alias("f"), _sum_if(~p & ~o).alias("r"))
 

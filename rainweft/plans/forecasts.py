@@ -76,6 +76,14 @@ def _shift(s, d):
 add("semilagrangian_shift", _shift, f"with {OBS_SQL} select cast(l.range as double) as lead, g.y, g.x, o.v from range(1, 3) l, (select distinct y, x from grid) g left join obs o on o.t = 29 and o.y = g.y + l.range and o.x = g.x - 2 * l.range")
 
 
+def _still(s, d):
+    got = P.nowcasts(P.frame_stacks(plain(s, d), 1), _ZERO(s, d), [1, 2, 3], "eulerian")
+    return G.to_cells(got, ("lead",)).withColumn("lead", F.col("lead").cast("int"))
+
+
+add("eulerian_persistence", _still, f"with {OBS_SQL} select cast(l.range as integer) as lead, y, x, v from obs, range(1, 4) l where t = 29")
+
+
 def _half(s, d):
     """Half a cell to the left and a quarter down: every value is a mean of four."""
     f = _ZERO(s, d).select("case", "ny", "nx", F.transform("u", lambda _: F.lit(-0.5)).alias("u"), F.transform("v", lambda _: F.lit(0.25)).alias("v"))
@@ -197,5 +205,5 @@ def _events(s, d):
 
 add("stream_contingency", lambda s, d: Z.drained(Z.contingency(_events(s, d).withColumn("f", F.col("user_id") % 500), "ts", "f", "value", ["event_type"], 100.0, "1 day"), "update", ["window_end", "event_type"]), "with e as (select *, user_id % 500 f from events) select cast(cast(ts as date) + 1 as timestamp) window_end, event_type, count(*) filter (f > 100 and value > 100) h, count(*) filter (not f > 100 and value > 100) m, count(*) filter (f > 100 and not value > 100) f, count(*) filter (not f > 100 and not value > 100) r from e group by 1, 2")
 add("stream_sliding", lambda s, d: Z.drained(Z.sliding(_events(s, d), "ts", "value", ["event_type"], "2 hours", "1 hour", "1 day"), "update", ["window_end", "event_type"]), "with w as (select *, time_bucket(interval 1 hour, ts) + to_hours(cast(k.range as integer)) window_end from events, range(1, 3) k) select window_end, event_type, count(value) n, ROUND6(sum(value)) total, ROUND6(avg(value)) mean from w group by 1, 2")
-add("stream_sessions", lambda s, d: Z.drained(Z.sessions(_events(s, d), "ts", ["event_type"], "30 minutes", "1 day").withColumnRenamed("last", "until"), "append").groupBy("event_type").agg(F.count("*").alias("sessions"), F.sum("n").alias("n")), None)
+add("stream_sessions", lambda s, d: Z.drained(Z.sessions(_events(s, d), "ts", ["event_type"], "30 minutes", "1 day").withColumnRenamed("last", "until"), "append").groupBy("event_type").agg(F.count("*").alias("sessions"), F.sum("n").alias("n")), "with g as (select event_type, ts, ts - lag(ts) over w gap, max(ts) over () - interval 1 day as mark from events window w as (partition by event_type order by ts)), i as (select *, sum(case when gap is null or gap >= interval 30 minutes then 1 else 0 end) over (partition by event_type order by ts) s from g), e as (select event_type, s, count(*) n, max(ts) + interval 30 minutes until, any_value(mark) mark from i group by 1, 2) select event_type, count(*) sessions, cast(sum(n) as bigint) n from e where until <= mark group by 1")
 add("stream_recent_frames", lambda s, d: Z.drained(Z.recent_frames(_events(s, d), "event_type", "ts", "value", 3)).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.element_at("stack", 1) + 2 * F.element_at("stack", 3)).alias("total")), "with l as (select event_type as key, value, lag(value, 2) over (partition by event_type order by ts) a from events) select key, count(*) n, ROUND6(sum(a + 2 * value)) total from l where a is not null group by key")

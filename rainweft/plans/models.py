@@ -217,7 +217,7 @@ def _bands(s, d):
 add("band_weights", _bands, """with q as (select 16 ** (1 / 6.0) q), k as (select a.range ky, b.range kx, sqrt((case when a.range >= 16 then a.range - 32 else a.range end) ** 2 + b.range ** 2) r from range(32) a, range(17) b),
   w as (select l.range lv, ky, kx, case when r = 0 then case when l.range = 0 then 1.0 else 0.0 end else exp(-((ln(r) / ln(q) - ln((q ** l.range + q ** (l.range + 1)) / 2) / ln(q)) ** 2) / 0.5) end w from k, q, range(6) l)
   select cast(lv as integer) as level, cast(ky as integer) ky, cast(kx as integer) kx, ROUND6(w / sum(w) over (partition by ky, kx)) w from w""")
-add("soft_mask", lambda s, d: P.soft_masks(_MASKS(s, d), 100.0, 4, blur=1).select("t", F.explode("data").alias("v")).groupBy("t").agg(F.avg("v").alias("mean")))
+add("soft_mask", lambda s, d: G.to_cells(P.soft_masks(_MASKS(s, d), 100.0, 4, blur=1)), f"with {OBS_SQL}, d as (select o.t, o.y, o.x, min(sqrt((o.y - f.y) ** 2 + (o.x - f.x) ** 2)) d from obs o join obs f on o.t = f.t and f.v >= 100 and abs(o.y - f.y) <= 4 and abs(o.x - f.x) <= 4 group by 1, 2, 3) select t, y, x, ROUND6(coalesce((select count(*) from range(1, 11) k where d <= 4.0 * k.range / 10) / 10.0, 0)) v from obs left join d using (t, y, x)")
 add("noise_adjustments", lambda s, d: P.noise_adjustments(tensors(s, d), -10.0, 5, 4).groupBy("level").agg(F.avg("factor").alias("factor")))
 add("rainfarm_smoothed", lambda s, d: P.downscaled(_MASKS(s, d).withColumn("data", F.transform("data", lambda v: v + 1.0)), 4, alpha=2.0, kernel="gaussian", fusion=True).select("t", F.explode("data").alias("v")).groupBy("t").agg(F.avg("v").alias("mean"), F.count("*").alias("n")))
 _SRC = {"projection": "+proj=merc +lon_0=0", "x1": 0.0, "y1": 0.0, "xpixelsize": 1000.0, "ypixelsize": 1000.0, "yorigin": "upper"}

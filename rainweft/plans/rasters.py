@@ -99,6 +99,7 @@ _QUANTILE = f"""case when least(q, 1 - q) < 0.02425 then (case when q < 0.5 then
     / ((((7.784695709041462e-03 * {_TAIL} + 3.224671290700398e-01) * {_TAIL} + 2.445134137142996) * {_TAIL} + 3.754408661907416) * {_TAIL} + 1)
   else (((((-3.969683028665376e+01 * {_MID} ** 2 + 2.209460984245205e+02) * {_MID} ** 2 - 2.759285104469687e+02) * {_MID} ** 2 + 1.383577518672690e+02) * {_MID} ** 2 - 3.066479806614716e+01) * {_MID} ** 2 + 2.506628277459239) * {_MID}
     / (((((-5.447609879822406e+01 * {_MID} ** 2 + 1.615858368580409e+02) * {_MID} ** 2 - 1.556989798598866e+02) * {_MID} ** 2 + 6.680131188771972e+01) * {_MID} ** 2 - 1.328068155288572e+01) * {_MID} ** 2 + 1) end"""
+add("resample_mixed", lambda s, d: R.resample(obs(s, d), model(s, d), 0.6, draw=F.pmod(F.col("rank") * 7919 + F.col("t") * 104729, F.lit(1000)) / 1000.0), f"with {OBS_SQL}, {MODEL_SQL}, a as (select t, row_number() over (partition by t order by v desc, y, x) r, v a from obs), b as (select t, row_number() over (partition by t order by v desc, y, x) r, v b from model), j as (select t, r, case when (r * 7919 + t * 104729) % 1000 / 1000.0 < 0.6 then a else b end v from a join b using (t, r)) select t, cast(row_number() over (partition by t order by v desc, r) as integer) as rank, v from j")
 add("normal_quantile", lambda s, d: R.normal_scores(obs(s, d)).select("t", "y", "x", F.round("v", 5).alias("v")), f"with {OBS_SQL}, r as (select *, row_number() over (partition by t, v <> 0 order by v, y, x) / (count(*) over (partition by t, v <> 0) + 1.0) q from obs) select t, y, x, round(case when v = 0 then v else {_QUANTILE} end, 5) + 0.0 v from r")
 
 # -- points
@@ -130,7 +131,6 @@ def _var(s, d):
 
 
 add("iterate_var", _var, f"with {_VSQL}, c(i, var, c) as (values (0, 0, 0.5), (0, 1, 0.1), (1, 0, 0.2), (1, 1, 0.3)) select c.i var, y, x, ROUND6(sum(v * c)) v from vars join c using (var) where t = 29 group by 1, 2, 3")
-add("eulerian_persistence", lambda s, d: obs(s, d).where("t = 29").select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("lead"), "y", "x", "v"), f"with {OBS_SQL} select cast(l.range as integer) as lead, y, x, v from obs, range(1, 4) l where t = 29")
 
 # -- blending
 _NWP = lambda s, d: obs(s, d).withColumnRenamed("v", "p").join(model(s, d).withColumnRenamed("v", "o"), ["t", "y", "x"]).withColumn("p", F.when(F.col("p") > 0, F.col("p")))

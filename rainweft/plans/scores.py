@@ -57,9 +57,7 @@ THRS = (50.0, 100.0, 200.0)
 def _flagship(spark, d):
     p = pairs(spark, d)
     each = F.explode(F.array(*[F.lit(t) for t in THRS])).alias("thr")
-    e = p.select(each, (F.col("p") > F.col("thr")).alias("a"), (F.col("o") > F.col("thr")).alias("b"))
-    s = e.groupBy("thr").agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in (("h", F.col("a") & F.col("b")), ("m", ~F.col("a") & F.col("b")), ("f", F.col("a") & ~F.col("b")), ("r", ~F.col("a") & ~F.col("b")))])
-    return V.categorical_scores(s, ["thr"])
+    return V.categorical_scores(V.contingency_state(p.select(each, "p", "o"), F.col("thr"), ["thr"]), ["thr"])
 
 
 add("flagship_categorical", _flagship, f"with {PAIR_SQL}, both_ as (select *, unnest([50.0, 100.0, 200.0]::double[]) thr from pair), {_cont('thr', 'both_')} {_cat_sql('thr')}")
