@@ -71,6 +71,7 @@ class Filter:
         for number, data in buckets.items():
             part = np.frombuffer(data, np.uint8)[: len(self.map) - (number - 1) * 4096]
             self.map[(number - 1) * 4096 : (number - 1) * 4096 + len(part)] = part
+        self._bytes, self._mask = self.map.tobytes(), bits - 1
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         h = hashes.astype(np.uint64)
@@ -80,8 +81,8 @@ class Filter:
         return found
 
     def holds(self, h: int) -> bool:
-        mask = int(self.mask)
-        return all(self.map[at >> 3] >> (at & 7) & 1 for at in (h & mask, h >> 31 & mask))
+        a, b = h & self._mask, h >> 31 & self._mask
+        return bool(self._bytes[a >> 3] >> (a & 7) & self._bytes[b >> 3] >> (b & 7) & 1)
 
 
 def _filter(entries: DataFrame, column: str, n: int):
@@ -100,11 +101,12 @@ class Coder:
 
     names: filter of the words that are names in the passages; words: filter of
     all words of the passages; forms: filter of their template codes, without
-    which every word counts as known.
+    which every word counts as known; longest: letters of the longest word of the
+    passages, beyond which no word is known.
     """
 
-    def __init__(self, names: Filter, words: Filter, forms: Filter | None = None, window: int = WINDOW):
-        self.names, self.words, self.forms, self.window = names, words, forms, window
+    def __init__(self, names: Filter, words: Filter, forms: Filter | None = None, window: int = WINDOW, longest: int = 1 << 30):
+        self.names, self.words, self.forms, self.window, self.longest = names, words, forms, window, longest
         self._clear()
 
     def _clear(self) -> None:
@@ -113,17 +115,23 @@ class Coder:
 
     def _add(self, word: str) -> int:
         low = word.casefold()
-        exact, form = _hash(low), low
-        if low.isdigit():
-            form = "#"
-        elif low in UNITS:
-            form = "#unit"
-        elif self.names.holds(exact) or (word[:1].isupper() and word[1:].islower() and not self.words.holds(exact)):
-            form = "#name"
-        elif _UNSPACED.search(low):
-            form = _INSIDE.sub(lambda m: "#" if m.group(1) else "#name", low)
-        code = _hash(form)
-        known = self.forms is None or form.startswith("#") or self.forms.holds(code)
+        form, exact = None, 0
+        if len(low) <= self.longest:
+            exact = _hash(low)
+            if low.isdigit():
+                form = "#"
+            elif low in UNITS:
+                form = "#unit"
+            elif self.words.holds(exact) and self.names.holds(exact):
+                form = "#name"
+            elif not low.isascii() and _UNSPACED.search(low):
+                form = _INSIDE.sub(lambda m: "#" if m.group(1) else "#name", low)
+            elif self.words.holds(exact):
+                form = low
+            elif word[:1].isupper() and word[1:].islower():
+                form = "#name"
+        code = 0 if form is None else exact if form == low else _hash(form)
+        known = form is not None and (self.forms is None or form.startswith("#") or self.forms.holds(code))
         k = len(self._form)
         self._form.append(code)
         self._exact.append(exact)
@@ -183,7 +191,7 @@ def consistent(own: list[int], there: list[int]) -> bool:
     return all(to.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(own, there))
 
 
-_WORDS = "word bigint, name int, plain int"
+_WORDS = "word bigint, name int, plain int, letters int"
 
 
 def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +202,15 @@ def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = "."
             for m in WORD.finditer(value.as_py()):
                 word = m.group()
-                facts = seen.setdefault(_hash(word.casefold()), [0, 0])
+                low = word.casefold()
+                facts = seen.setdefault(_hash(low), [0, 0, len(low)])
                 if word[:1].islower() or word[:1].isdigit() or before.casefold() in BEFORE_NOUNS or before.isdigit():
                     facts[1] = 1
                 elif word[1:].islower() and before != ".":
                     facts[0] = 1
                 before = word
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.int64()), pa.array([f[0] for f in seen.values()], pa.int32()), pa.array([f[1] for f in seen.values()], pa.int32())], names=["word", "name", "plain"]
-        )
+        facts = [pa.array([f[k] for f in seen.values()], pa.int32()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), *facts], names=["word", "name", "plain", "letters"])
 
 
 def _item_windows(names, words, window: int):
@@ -228,9 +236,9 @@ def _item_windows(names, words, window: int):
     return run
 
 
-def _document_windows(names, words, forms, keys, window: int, key: str):
+def _document_windows(names, words, forms, keys, window: int, longest: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, wanted = Coder(Filter(*names.value), Filter(*words.value), Filter(*forms.value), window), Filter(*keys.value)
+        own, wanted = Coder(Filter(*names.value), Filter(*words.value), Filter(*forms.value), window, longest), Filter(*keys.value)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for i, value in enumerate(batch.column(1)):
@@ -284,14 +292,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     rows = require(documents, key, text).where(F.length(text) > 0)
     held = require(items, item, passage).where(F.length(passage) > 0).select(F.col(item).alias("_item"), F.md5(passage).alias("pid"), F.col(passage).alias("_passage"))
     passages = written(held.groupBy("pid").agg(F.first("_passage").alias("_passage")), "passages")
-    lexicon = passages.select("_passage").mapInArrow(_lexicon, _WORDS).groupBy("word").agg(F.max("name").alias("name"), F.max("plain").alias("plain"))
+    lexicon = passages.select("_passage").mapInArrow(_lexicon, _WORDS).groupBy("word").agg(F.max("name").alias("name"), F.max("plain").alias("plain"), F.max("letters").alias("letters"))
     lexicon = written(lexicon, "lexicon")
-    n = lexicon.count()
+    n, longest = lexicon.agg(F.count("*"), F.coalesce(F.max("letters"), F.lit(0))).first()
     names, words = _filter(lexicon.where("name = 1 and plain = 0"), "word", n), _filter(lexicon, "word", n)
     wins = written(passages.mapInArrow(_item_windows(names, words, window), "pid string, win bigint, whole bigint, slots array<bigint>, forms array<bigint>"), "windows")
     forms = _filter(wins.where("forms is not null").select(F.explode("forms").alias("form")).distinct(), "form", n)
     keys = _filter(wins, "win", wins.count())
-    seen = rows.mapInArrow(_document_windows(names, words, forms, keys, window, key), f"`{key}` {kinds[key]}, part int, win bigint, whole bigint, slots array<bigint>")
+    seen = rows.mapInArrow(_document_windows(names, words, forms, keys, window, longest, key), f"`{key}` {kinds[key]}, part int, win bigint, whole bigint, slots array<bigint>")
     own = wins.groupBy("win", F.col("whole").alias("own_whole")).agg(F.first("slots").alias("own_slots"))
     pairs = seen.join(own, "win").select(F.col(key), "part", "win", "whole", "slots", "own_whole", "own_slots")
     pairs = pairs.mapInArrow(_checked, f"`{key}` {kinds[key]}, part int, win bigint, whole bigint, own_whole bigint, same boolean")
