@@ -20,7 +20,7 @@ from rainweft.workspace import require
 BLOCK = 1024  # slots imputed together
 SPREAD = 4096  # slots of a run made by one row
 EDGE = 24  # slots that a block sees of each neighbour; a last block shorter than that joins the one before
-ROUNDS, TOLERANCE = 100, 1e-3
+ROUNDS, TOLERANCE, RELAX = 100, 1e-3, 1.6
 EMBEDDINGS = ((4, 2), (12, 3), (24, 3))  # width and singular vectors kept; the width is half the series at most
 CLEARLY = 0.5  # of the first embedding's squared error another must stay below, as few readings tell little
 ASKED, TRIED = 5, 6  # each fifth reading is held out, in rounds enough to tell the embeddings apart
@@ -95,10 +95,11 @@ def _rounds(x: np.ndarray, missing: np.ndarray, width: int, rank: int, rounds: i
         back = np.zeros_like(now)
         for k in range(width):  # sums along the antidiagonals
             back[:, k : k + n - width + 1] += smooth[:, :, k]
-        new = np.where(gone, np.maximum(back / counts + centre, floor[:, None]), now)
-        moved = np.abs(new - now).max(1)
-        x[active] = new
+        target = np.where(gone, np.maximum(back / counts + centre, floor[:, None]), now)
+        moved = np.abs(target - now).max(1)
         done = moved < tolerance * scale
+        # those that go on take a longer step, which halves the rounds; a settled one ends on the rebuilt values
+        x[active] = np.where(gone & ~done[:, None], np.maximum(now + RELAX * (target - now), floor[:, None]), target)
         converged[active[done]] = True
         active, floor, scale = active[~done], floor[~done], scale[~done]
         if not len(active):
