@@ -59,8 +59,9 @@ add("tensor_round_trip", lambda s, d: G.to_cells(G.to_tensor(obs(s, d))), f"with
 _DB = f"{OBS_SQL}, db as (select t, y, x, case when v < 0.1 then -15 else 10 * log10(v) end v from obs)"
 # the shift of largest correlation, refined by a parabola along either axis
 _SHIFT = f"""with {_DB}, k as (select range as n from range(-12, 13)),
-  c as (select b.t as t, p.n dy, q.n dx, corr(a.v, b.v) c from db a join k p on true join k q on true join db b on b.t = a.t + 1 and b.y = a.y + p.n and b.x = a.x + q.n group by 1, 2, 3),
-  m as (select * from (select *, row_number() over (partition by t order by c desc, dy, dx) r from c where c is not null) where r = 1),
+  every as (select b.t as t, p.n dy, q.n dx, corr(a.v, b.v) c from db a join k p on true join k q on true join db b on b.t = a.t + 1 and b.y = a.y + p.n and b.x = a.x + q.n group by 1, 2, 3),
+  c as (select * from every where c is not null and not isnan(c)),
+  m as (select * from (select *, row_number() over (partition by t order by c desc, dy, dx) r from c) where r = 1),
   n as (select m.t, m.dy, m.dx, m.c, (select c from c where c.t = m.t and c.dy = m.dy - 1 and c.dx = m.dx) y0, (select c from c where c.t = m.t and c.dy = m.dy + 1 and c.dx = m.dx) y1,
     (select c from c where c.t = m.t and c.dy = m.dy and c.dx = m.dx - 1) x0, (select c from c where c.t = m.t and c.dy = m.dy and c.dx = m.dx + 1) x1 from m)
   select t as "case", ROUND6(dx + case when x0 + x1 - 2 * c < 0 then 0.5 * (x0 - x1) / (x0 + x1 - 2 * c) else 0 end) u, ROUND6(dy + case when y0 + y1 - 2 * c < 0 then 0.5 * (y0 - y1) / (y0 + y1 - 2 * c) else 0 end) v, 1024 n from n where t >= 2"""
