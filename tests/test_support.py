@@ -1,5 +1,8 @@
 """Wrappers, settings, registry, analyses and the entry's own parts."""
 
+from types import SimpleNamespace
+from zipimport import zipimporter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +134,12 @@ def test_intermediate_tables_can_be_deleted(spark):
 def test_entry_keeps_to_local_sessions(spark):
     entry.ship(spark)  # nothing to send
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_archive_stays_for_executors():
+    sent = []
+    context = SimpleNamespace(master="spark://host:7077", applicationId="app-archive", addPyFile=sent.append)
+    for _ in range(2):
+        entry.ship(SimpleNamespace(sparkContext=context))
+    assert len(sent) == 1  # once per application, and the file is still there when an executor asks for it
+    assert zipimporter(sent[0]).find_spec("rainweft") and zipimporter(f"{sent[0]}/rainweft").find_spec("workspace")
