@@ -64,3 +64,26 @@ def test_queries_equal_those_of_a_local_session(spark, cluster):
     for name in NAMES:
         got, want = spark.read.parquet(f"{scratch}/{name}"), entry.queries()[name](spark, DATA)
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+# queries of an application that loads the entry anew for each of them
+AGAIN = (
+    "p3_found",
+)
+
+RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
+
+
+@pytest.fixture(scope="module")
+def reloaded(cluster):
+    master, env, scratch = cluster
+    out = scratch / "again"
+    done = subprocess.run([sys.executable, "-c", RELOADING, str(ROOT), master, DATA, str(out), "check_norain", *AGAIN], env=env, cwd=scratch, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-2000:]
+    return out
+
+
+@pytest.mark.parametrize("name", AGAIN)
+def test_entry_loaded_for_each_query(spark, reloaded, name):
+    got, want = spark.read.parquet(f"{reloaded}/{name}"), entry.queries()[name](spark, DATA)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -1,5 +1,7 @@
 """Wrappers, settings, registry, analyses and the entry's own parts."""
 
+from importlib.util import module_from_spec, spec_from_file_location
+from pathlib import Path
 from types import SimpleNamespace
 from zipimport import zipimporter
 
@@ -143,3 +145,19 @@ def test_entry_archive_stays_for_executors():
         entry.ship(SimpleNamespace(sparkContext=context))
     assert len(sent) == 1  # once per application, and the file is still there when an executor asks for it
     assert zipimporter(sent[0]).find_spec("rainweft") and zipimporter(f"{sent[0]}/rainweft").find_spec("workspace")
+
+
+def test_entry_loaded_again_ships_nothing_twice():
+    sent = []
+
+    def load():
+        spec = spec_from_file_location("entry_again", entry.__file__)
+        found = module_from_spec(spec)
+        spec.loader.exec_module(found)
+        return found
+
+    contexts = [SimpleNamespace(master="spark://host:7077", applicationId=f"app-{i}", addPyFile=sent.append) for i in range(2)]
+    for context in contexts:
+        for _ in range(3):
+            load().ship(SimpleNamespace(sparkContext=context))
+    assert len(sent) == 2 and len({Path(p).name for p in sent}) == 2  # one for each application, and Spark refuses one name from two folders
