@@ -69,6 +69,7 @@ def test_queries_equal_those_of_a_local_session(spark, cluster):
 # queries of an application that loads the entry anew for each of them
 AGAIN = (
     "p3_found",
+    "p6_ids",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
