@@ -70,6 +70,7 @@ def test_queries_equal_those_of_a_local_session(spark, cluster):
 AGAIN = (
     "p3_found",
     "p6_ids",
+    "p7_found",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
