@@ -71,6 +71,7 @@ AGAIN = (
     "p3_found",
     "p6_ids",
     "p7_found",
+    "p4_percentiles",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
