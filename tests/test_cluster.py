@@ -72,6 +72,7 @@ AGAIN = (
     "p6_ids",
     "p7_found",
     "p4_percentiles",
+    "p5_found",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
