@@ -73,6 +73,7 @@ AGAIN = (
     "p7_found",
     "p4_percentiles",
     "p5_found",
+    "advect_cells",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
