@@ -74,6 +74,7 @@ AGAIN = (
     "p4_percentiles",
     "p5_found",
     "advect_cells",
+    "aggregate_fields_sum",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
