@@ -75,6 +75,7 @@ AGAIN = (
     "p5_found",
     "advect_cells",
     "aggregate_fields_sum",
+    "aggregate_time",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
