@@ -76,6 +76,7 @@ AGAIN = (
     "advect_cells",
     "aggregate_fields_sum",
     "aggregate_time",
+    "ar_ols_differenced",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
