@@ -77,6 +77,7 @@ AGAIN = (
     "aggregate_fields_sum",
     "aggregate_time",
     "ar_ols_differenced",
+    "ar_ols_ridge",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
