@@ -78,6 +78,7 @@ AGAIN = (
     "aggregate_time",
     "ar_ols_differenced",
     "ar_ols_ridge",
+    "ar_yule_walker_localized",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
