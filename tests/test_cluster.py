@@ -80,6 +80,7 @@ AGAIN = (
     "ar_ols_ridge",
     "ar_yule_walker_localized",
     "asof_join",
+    "band_depth_normalised",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
