@@ -81,6 +81,7 @@ AGAIN = (
     "ar_yule_walker_localized",
     "asof_join",
     "band_depth_normalised",
+    "binary_mse_merged",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
