@@ -82,6 +82,7 @@ AGAIN = (
     "asof_join",
     "band_depth_normalised",
     "binary_mse_merged",
+    "blended_moments",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
