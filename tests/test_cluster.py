@@ -83,6 +83,7 @@ AGAIN = (
     "band_depth_normalised",
     "binary_mse_merged",
     "blended_moments",
+    "blending_steps",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
