@@ -84,6 +84,7 @@ AGAIN = (
     "binary_mse_merged",
     "blended_moments",
     "blending_steps",
+    "boxcox_inverse",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
