@@ -85,6 +85,7 @@ AGAIN = (
     "blended_moments",
     "blending_steps",
     "boxcox_inverse",
+    "cascade_levels",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
