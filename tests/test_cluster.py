@@ -86,6 +86,7 @@ AGAIN = (
     "blending_steps",
     "boxcox_inverse",
     "cascade_levels",
+    "categorical_merged",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
