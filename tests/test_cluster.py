@@ -87,6 +87,7 @@ AGAIN = (
     "boxcox_inverse",
     "cascade_levels",
     "categorical_merged",
+    "cell_table",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
