@@ -62,5 +62,5 @@ def only_first(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> Data
 
 
 def having_partner(first: DataFrame, second: DataFrame, keys: Sequence[str], partner: bool = True) -> DataFrame:
-    """Rows of the first side with (or without) a row of equal keys on the second."""
-    return first.join(second.select(*keys).distinct(), list(keys), "left_semi" if partner else "left_anti")
+    """Rows of the first side with (or without) a row of equal keys on the second; columns stay in their order."""
+    return first.join(second.select(*keys).distinct(), list(keys), "left_semi" if partner else "left_anti").select(*first.columns)

@@ -88,6 +88,7 @@ AGAIN = (
     "cascade_levels",
     "categorical_merged",
     "cell_table",
+    "cells_with_partner",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")

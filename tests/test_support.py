@@ -161,3 +161,10 @@ def test_entry_loaded_again_ships_nothing_twice():
         for _ in range(3):
             load().ship(SimpleNamespace(sparkContext=context))
     assert len(sent) == 2 and len({Path(p).name for p in sent}) == 2  # one for each application, and Spark refuses one name from two folders
+
+
+def test_partners_keep_the_order_of_columns(spark):
+    a, b = spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "t int, y int, x int"), spark.createDataFrame([(2, 3)], "y int, x int")
+    for partner, row in ((True, (1, 2, 3)), (False, (4, 5, 6))):
+        got = joins.having_partner(a, b, ["x", "y"], partner)
+        assert got.columns == ["t", "y", "x"] and [tuple(r) for r in got.collect()] == [row]
