@@ -89,6 +89,7 @@ AGAIN = (
     "categorical_merged",
     "cell_table",
     "cells_with_partner",
+    "check_norain",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
