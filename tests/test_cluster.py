@@ -90,6 +90,7 @@ AGAIN = (
     "cell_table",
     "cells_with_partner",
     "check_norain",
+    "close_rain_gap",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
