@@ -91,6 +91,7 @@ AGAIN = (
     "cells_with_partner",
     "check_norain",
     "close_rain_gap",
+    "continuous_merged",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
