@@ -92,6 +92,7 @@ AGAIN = (
     "check_norain",
     "close_rain_gap",
     "continuous_merged",
+    "crps",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
