@@ -93,6 +93,7 @@ AGAIN = (
     "close_rain_gap",
     "continuous_merged",
     "crps",
+    "decluster",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
