@@ -94,6 +94,7 @@ AGAIN = (
     "continuous_merged",
     "crps",
     "decluster",
+    "elliptic_opening",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
