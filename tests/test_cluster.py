@@ -95,6 +95,7 @@ AGAIN = (
     "crps",
     "decluster",
     "elliptic_opening",
+    "enkf_forecast",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
