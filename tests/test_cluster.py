@@ -96,6 +96,7 @@ AGAIN = (
     "decluster",
     "elliptic_opening",
     "enkf_forecast",
+    "ensemble_skill",
 )
 
 RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name in names:\n    importlib.reload(entry)\n")
