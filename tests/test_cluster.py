@@ -106,7 +106,7 @@ RELOADING = DRIVER.replace("for name in names:\n", "import importlib\nfor name i
 def reloaded(cluster):
     master, env, scratch = cluster
     out = scratch / "again"
-    done = subprocess.run([sys.executable, "-c", RELOADING, str(ROOT), master, DATA, str(out), "check_norain", *AGAIN], env=env, cwd=scratch, capture_output=True, text=True, timeout=900)
+    done = subprocess.run([sys.executable, "-c", RELOADING, str(ROOT), master, DATA, str(out), "p2_found", *AGAIN], env=env, cwd=scratch, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stderr[-2000:]
     return out
 
