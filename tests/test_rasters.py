@@ -318,3 +318,12 @@ def test_registered_exporters_write(spark, tmp_path):
     for name, write in registry.methods("exporter").items():
         write(df, str(tmp_path / name), name)
         assert any((tmp_path / name).iterdir()), name
+
+
+def test_energies_without_a_base_are_not_numbers(spark):
+    """Events everywhere or nowhere: the skill is what division by a base of 0 gives, as in the SQL."""
+    rows = lambda p, o: spark.createDataFrame([(0, y, x, p, o) for y in range(2) for x in range(2)], "t int, y int, x int, p double, o double")
+    skill = lambda p, o: [r.skill for r in verification.binary_mse_scores(verification.binary_mse_state(rows(p, o), 1.0, 1), 1).orderBy("level").collect()]
+    assert all(np.isnan(v) for v in skill(2.0, 2.0)) and all(np.isnan(v) for v in skill(0.0, 0.0))
+    got = skill(2.0, 0.0)
+    assert np.isnan(got[0]) and got[1] == -np.inf
