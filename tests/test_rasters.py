@@ -327,3 +327,13 @@ def test_energies_without_a_base_are_not_numbers(spark):
     assert all(np.isnan(v) for v in skill(2.0, 2.0)) and all(np.isnan(v) for v in skill(0.0, 0.0))
     got = skill(2.0, 0.0)
     assert np.isnan(got[0]) and got[1] == -np.inf
+
+
+def test_categorical_scores_without_a_base(spark):
+    """Ratios that the SQL guards are null without a base, the others NaN or infinite."""
+    scores = lambda *rows: verification.categorical_scores(verification.contingency_state(spark.createDataFrame(list(rows), "p double, o double"), 1.0)).first()
+    every, none, false = scores((2.0, 2.0)), scores((0.0, 0.0)), scores((2.0, 0.0))
+    assert np.isnan(every.fa) and np.isnan(every.hk) and every.pod == every.acc == every.csi == every.bias == every.f1 == 1.0 and every.far == 0.0
+    assert all(np.isnan(none[k]) for k in ("pod", "csi", "bias", "hk", "f1")) and none.far is None and none.fa == 0.0
+    assert np.isnan(false.pod) and false.bias == np.inf and false.far == 1.0
+    assert all(s[k] is None for s in (every, none) for k in ("hss", "gss", "sedi", "mcc")) and false.gss == false.hss == 0.0 and false.mcc is None
