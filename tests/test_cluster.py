@@ -115,3 +115,36 @@ def reloaded(cluster):
 def test_entry_loaded_for_each_query(spark, reloaded, name):
     got, want = spark.read.parquet(f"{reloaded}/{name}"), entry.queries()[name](spark, DATA)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+# queries of a local session that began elsewhere, before the entry was loaded
+LATE = (
+    "p4_percentiles",
+)
+
+BEFORE = """
+import sys
+from pyspark.sql import SparkSession
+root, data, out, *names = sys.argv[1:]
+conf = {"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+sys.path.insert(0, root)
+import __spark_entry__ as entry
+for name in names:
+    entry.queries()[name](spark, data).write.parquet(f"{out}/{name}")
+"""
+
+
+@pytest.fixture(scope="module")
+def late(tmp_path_factory):
+    out = tmp_path_factory.mktemp("late")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", BEFORE, str(ROOT), DATA, str(out), *LATE], env=env, cwd=out, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    return out
+
+
+@pytest.mark.parametrize("name", LATE)
+def test_session_begun_before_the_entry(spark, late, name):
+    got, want = spark.read.parquet(f"{late}/{name}"), entry.queries()[name](spark, DATA)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
