@@ -121,6 +121,7 @@ def test_entry_loaded_for_each_query(spark, reloaded, name):
 LATE = (
     "p4_percentiles",
     "p5_found",
+    "p6_ids",
 )
 
 BEFORE = """
