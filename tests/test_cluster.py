@@ -122,6 +122,7 @@ LATE = (
     "p4_percentiles",
     "p5_found",
     "p6_ids",
+    "p7_found",
 )
 
 BEFORE = """
