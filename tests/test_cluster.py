@@ -123,6 +123,7 @@ LATE = (
     "p5_found",
     "p6_ids",
     "p7_found",
+    "blending_steps",
 )
 
 BEFORE = """
