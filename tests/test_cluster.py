@@ -124,6 +124,7 @@ LATE = (
     "p6_ids",
     "p7_found",
     "blending_steps",
+    "cascade_levels",
 )
 
 BEFORE = """
