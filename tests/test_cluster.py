@@ -125,6 +125,7 @@ LATE = (
     "p7_found",
     "blending_steps",
     "cascade_levels",
+    "enkf_forecast",
 )
 
 BEFORE = """
